@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -53,3 +57,26 @@ def trimmed(c: Column) -> Column:
 def bucket_of(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; remainder 2 is held out. A null id has no text and is hashed as an empty one."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
+
+
+def with_arrow_columns(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list[list]]], fields: str, keep: Callable | None = None) -> DataFrame:
+    """df with Arrow-batched Python columns added (old columns of these names are replaced).
+
+    make() runs once per task and returns a function from lists of the inputs' values to lists of the new columns'
+    values; keep, if given, gets the same lists of new columns and says for each row whether it stays.
+    """
+    small_batches(df.sparkSession)
+    added = StructType.fromDDL(fields)
+    names = [c for c in df.columns if c not in added.names]
+    kinds = to_arrow_schema(added)
+    at = [names.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            new = work(*(batch.column(k).to_pylist() for k in at))
+            out = pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, kinds.field(k).type) for k, v in enumerate(new))], names=[*names, *added.names])
+            yield out if keep is None else out.filter(pa.array(keep(*new), pa.bool_()))
+
+    schema = StructType([*(f for f in df.schema if f.name in names), *added])
+    return df.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)

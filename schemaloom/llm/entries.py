@@ -23,6 +23,36 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.quality import THRESHOLD, quality_scores
+
+    return judged(quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")), THRESHOLD)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.toxicity import THRESHOLD, toxicity_scores
+
+    return judged(toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")), THRESHOLD)
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    from schemaloom.llm.linear import held_out
+
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from schemaloom.llm.linededup import dedup_lines
 
@@ -38,9 +68,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op7_line_dedup, op10_simhash]
+    found = [op1_best_fit_packing, op3_quality, op4_licenses, op6_quality_rules, op7_line_dedup, op8_toxicity, op10_simhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from schemaloom.llm import licenses, rules
+
+    return {"op4_licenses": licenses.oracle_sql(), "op6_quality_rules": rules.oracle_sql()}

@@ -75,6 +75,7 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = 512)
     # Key kinds: a segment as it is (wild = 0), and with one wildcard bit (wild = that bit), which then tells the sides apart.
     kinds = [(k, m, 0) for k, m in enumerate(masks)] + [(k, m, 1 << j) for k, m in enumerate(masks) for j in range(64) if m >> j & 1]
     table = F.array(*(F.struct(F.lit(k).alias("seg"), F.lit(signed(m & ~w)).alias("mask"), F.lit(signed(w)).alias("wild")) for k, m, w in kinds))
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a small table that grows 66-fold
     keys = fps.select("fp", F.explode(table).alias("k")).select(
         "fp", F.col("k.seg").alias("seg"), F.col("k.wild").alias("wild"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("part"), (F.col("fp").bitwiseAND(F.col("k.wild")) != 0).alias("one")
     )
