@@ -23,6 +23,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from schemaloom.llm.quality import THRESHOLD, quality_scores
 
@@ -60,6 +66,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from schemaloom.llm.simhash import near_groups
 
@@ -68,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op3_quality, op4_licenses, op6_quality_rules, op7_line_dedup, op8_toxicity, op10_simhash]
+    found = [op1_best_fit_packing, op2_decontamination, op3_quality, op4_licenses, op6_quality_rules, op7_line_dedup, op8_toxicity, op9_html_text, op10_simhash]
     return {f.__name__: f for f in found}
 
 
