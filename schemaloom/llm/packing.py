@@ -14,6 +14,9 @@ a null id is kept; no input row is ever dropped, and extra columns are ignored.
 from __future__ import annotations
 
 import math
+import string
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +32,23 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHE_WORDS = 400_000
 
 
+PUNCTUATION = string.punctuation.encode()
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: visible Latin-1 bytes as they are, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, by way of a bounded cache of words.
 
     The vocabulary's pre-tokeniser never joins text across white space and ignores ASCII case, so the ids of a text are
-    those of its white-space separated parts, one after another. Parts that end in ASCII letters and then full stops or
-    commas are looked up as two, since a run of letters always ends before a run of symbols.
+    those of its white-space separated parts, one after another. A part of letters and then punctuation is looked up as
+    two, since a run of letters always ends before a run of symbols. A part of Latin letters is one word of the model,
+    and goes to the model itself; any other part goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str, cache_words: int = CACHE_WORDS):
@@ -42,33 +56,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.cache: dict[bytes, bytes] = {}
         self.limit = cache_words
 
-    def _raw(self, parts: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _latin(part: bytes) -> str | None:
+        """The part's normal form if it is one word of Latin letters."""
+        if part.isalpha():
+            return part.decode("ascii")
+        text = part.decode("utf-8", "replace")
+        if not text.isalpha() or max(text) >= "\u0250":
+            return None
+        text = unicodedata.normalize("NFC", text).lower()
+        return text if text.isalpha() else None
 
     def _learn(self, missing: set[bytes]) -> None:
-        tails = {}
+        tails, others, cache = [], [], self.cache
         for p in missing:
-            stem = p.rstrip(b".,")
-            if 0 < len(stem) < len(p) and 97 <= stem[-1] <= 122:
-                tails[p] = (stem, p[len(stem) :])
-        plain = {p for p in missing if p not in tails}
-        plain.update(x for pair in tails.values() for x in pair)
-        need = [p for p in plain if p not in self.cache]
-        self.cache.update(zip(need, self._raw(need), strict=True))
-        for p, (stem, tail) in tails.items():
-            self.cache[p] = self.cache[stem] + self.cache[tail]
+            stem = p.rstrip(PUNCTUATION)
+            if stem and len(stem) < len(p) and self._latin(stem) is not None:
+                tails.append((p, stem, p[len(stem) :]))
+        todo = missing.difference(t[0] for t in tails)
+        todo.update(x for _, stem, tail in tails for x in (stem, tail) if x not in cache)
+        for p in todo:
+            word = self._latin(p)
+            if word is None:
+                others.append(p)
+                continue
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(word)]
+            cache[p] = struct.pack(f"<{len(ids)}I", *ids)
+        texts = [p.decode("utf-8", "replace") for p in others]
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if others else [], strict=True):
+            cache[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for p, stem, tail in tails:
+            cache[p] = cache[stem] + cache[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.cache) > self.limit:
             self.cache.clear()
-        missing: set[bytes] = set()
-        for p in parts:
-            missing.update(set(p).difference(self.cache))
+        missing = set().union(*parts).difference(self.cache)
         if missing:
             self._learn(missing)
         get = self.cache.__getitem__
