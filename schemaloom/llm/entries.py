@@ -47,6 +47,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from schemaloom.llm.pii import digests, personal_data
+
+    return digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from schemaloom.llm.rules import judge
 
@@ -80,7 +86,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_decontamination, op3_quality, op4_licenses, op6_quality_rules, op7_line_dedup, op8_toxicity, op9_html_text, op10_simhash]
+    found = [op1_best_fit_packing, op2_decontamination, op3_quality, op4_licenses, op5_pii, op6_quality_rules, op7_line_dedup, op8_toxicity, op9_html_text, op10_simhash]
     return {f.__name__: f for f in found}
 
 
