@@ -19,7 +19,7 @@ from schemaloom.llm.common import BLANK_CLASS, broadcast_if_small, materialise,
 
 WINDOW = 8
 #: measure: (spreads above the median, slack per thousand)
-FENCES = {"symbols": (8, 100), "dup_lines": (8, 200), "repeats": (8, 200), "word_length": (8, 4000)}
+FENCES = {"symbols": (8, 100), "dup_lines": (8, 500), "repeats": (8, 200), "word_length": (8, 4000)}
 MIN_GROUP = 200
 
 

@@ -16,8 +16,8 @@ def test_odd_pages():
 
 def test_repeated_runs_go_only_outside_main_elements():
     shared = "this same sentence of more than twelve words stands on every page of the host"
-    pages = [(i, f"<div>{shared}</div><div>unique text number {i} of its own</div>") for i in range(3)]
-    assert extract(pages) == [f"unique text number {i} of its own" for i in range(3)]
+    pages = [(i, f"<div>{shared}</div><div>{i} has a text of its own</div>") for i in range(3)]
+    assert extract(pages) == [f"{i} has a text of its own" for i in range(3)]
     held = [(i, f"<article><p>{shared}</p></article><div>{shared}</div>") for i in range(3)]
     assert extract(held) == [shared] * 3
     assert extract([pages[0], pages[0]])[0].startswith("this same")  # one page twice isn't two pages
