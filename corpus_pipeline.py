@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by fingerprints of five-word shingles."""
-    return keep_one(docs, shingle=5, max_bits=3, segments=2)
+    """One document of each near-duplicate group: a similarity of 0.8 of five-word shingles, by fingerprints."""
+    return keep_one(docs, similarity=0.8, shingle=5, max_bits=3, segments=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

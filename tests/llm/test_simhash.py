@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import xxhash
 from helpers import awkward, documents
 
-from schemaloom.llm.simhash import components, fingerprint, keep_one, links, near_groups, signed
+from schemaloom.llm.simhash import components, fingerprint, forest, keep_one, links, near_groups, signed, similar_groups, wide_fingerprint
 
 
 def plain(text, k=3):
@@ -71,3 +72,48 @@ def test_keep_one_and_empty_table(spark):
     assert sum(i is None for i in ids) == 2 and len({i for i in ids if i is not None}) == len(ids) - 2
     assert keep_one(documents(spark)).columns == documents(spark).columns
     assert near_groups(documents(spark, [])).count() == 0
+
+
+def edited(rng, words, share):
+    return [f"new{rng.randint(0, 10**6)}" if rng.random() < share else w for w in words]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    rng = random.Random(4)
+    texts, pairs = [], []
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 500)}" for _ in range(300)]
+        other = edited(rng, base, 0.012)
+        pairs.append((len(texts), len(texts) + 1, jaccard(base, other)))
+        texts += [base, other]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)] + [(500, None, None, None, None), (501, " ", None, None, None)]
+    group = {r.doc_id: r.component_id for r in similar_groups(documents(spark, rows)).collect()}
+    close = [(a, b) for a, b, j in pairs if j >= 0.8]
+    assert len(close) > 40 and sum(group[a] == group[b] for a, b in close) >= 0.9 * len(close)
+    assert all(group[a] == a and group[b] in (a, b) for a, b, _ in pairs)
+    assert group[500] == group[501] == 500
+
+
+def test_forest_joins_what_edges_join():
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)]
+    a, b = forest(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    assert {(int(x), int(y)) for x, y in zip(a, b)} == {(x, find(x)) for x in root if find(x) != x}
+
+
+def test_wide_fingerprint_begins_with_the_plain_one():
+    assert all(int(wide_fingerprint(t, 3)[0]) == fingerprint(t) for _, t, *_ in awkward())
