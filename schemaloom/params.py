@@ -48,6 +48,9 @@ class Params:
     reset_format_length: bool = False
     max_depth: int = 64
     max_tuple: int = 256  #: arrays of one length above this are lists
+    max_paths: int = 20_000  #: paths of a level, beyond which its widest objects become maps (path.*)
+    max_keys: int = 1_000  #: keys of an object's path that stay keys then
+    cache: bool = True  #: keep levels of nodes between passes (memory, then local disk); else they are shredded again
     seed: int = 42
 
     def named(self, name: str) -> Params:

@@ -189,7 +189,9 @@ def assemble(d: Discovery) -> Node:
         for r in sorted(group, key=lambda r: r.type):
             n = Node(r.type, _facts(r, d, extra))
             below = kids.get(r.path, {})
-            if r.type == "object":
+            if r.type == "object" and f"{r.path}.*" in below and all(x.key is None for x in below[f"{r.path}.*"]):
+                n = Node("dynamic", items=build(below[f"{r.path}.*"]))
+            elif r.type == "object":
                 keyed: dict[str, list] = {}
                 for own in below.values():
                     for x in own:

@@ -72,6 +72,23 @@ def _typed(level: DataFrame) -> DataFrame:
     )
 
 
+def _kept(df: DataFrame, params: Params) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if params.cache else df
+
+
+def _summary(typed: DataFrame) -> DataFrame:
+    return typed.groupBy("path", "type").agg(F.count("*").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+def _maps(level: DataFrame, params: Params) -> DataFrame:
+    """The level with one path for all keys of those objects whose path has more than max_keys keys."""
+    wide = level.where("key IS NOT NULL").groupBy("parent").agg(F.approx_count_distinct("path").alias("keys")).where(F.col("keys") > params.max_keys)
+    wide = wide.select(F.col("parent").alias("_wide"))  # some of the paths of the level above, which were few enough to collect
+    met = level.join(F.broadcast(wide), F.col("parent") == F.col("_wide"), "left")
+    is_wide = F.col("_wide").isNotNull() & F.col("key").isNotNull()
+    return met.withColumns({"path": F.when(is_wide, F.concat("parent", F.lit(".*"))).otherwise(F.col("path")), "key": F.when(is_wide, F.lit(None)).otherwise(F.col("key"))}).drop("_wide")
+
+
 def shred(docs: DataFrame, params: Params = Params()) -> Shredded:
     """docs: (doc_id, json), other columns ignored. Documents that don't parse are left out."""
     level = docs.select("doc_id", F.expr("try_parse_json(json)").alias("v")).where("v IS NOT NULL")
@@ -79,9 +96,13 @@ def shred(docs: DataFrame, params: Params = Params()) -> Shredded:
     level = level.select("doc_id", F.xxhash64("doc_id", F.lit("$")).alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit("$").alias("path"), none.alias("parent"), none.alias("key"), F.lit(0).alias("depth"), "v")
     found = Shredded(None, {})
     while True:
-        typed = _typed(level).persist(StorageLevel.MEMORY_AND_DISK)
+        typed = _kept(_typed(level), params)
+        summary = _summary(typed).limit(params.max_paths + 1).collect()  # as many rows as paths
+        if len(summary) > params.max_paths:
+            typed.unpersist()
+            typed = _kept(_typed(_maps(level, params)), params)
+            summary = _summary(typed).collect()  # at most max_keys rows and types for each path of the level above
         found.levels.append(typed)
-        summary = typed.groupBy("path", "type").agg(F.count("*").alias("count"), F.min("n").alias("low"), F.max("n").alias("high")).collect()  # as many rows as paths
         tuples = [r.path for r in summary if r.type == "array" and r.low == r.high and 0 < r.high <= params.max_tuple]
         found.tuples.update(tuples)
         found.kinds.update({(r.path, r.type): (r["count"], r.low, r.high) for r in summary})

@@ -63,6 +63,12 @@ def test_property_sets_limit_facts(spark):
     assert set(discover_schema(from_values(spark, DOCS), Params().only("minimum")).keys["a"].facts) == {"minimum"}
 
 
+def test_too_many_keys_become_a_map(spark):
+    docs = from_values(spark, [{"id": i, "by": {f"k{i}_{j}": {"n": j} for j in range(5)}} for i in range(20)])
+    n = discover_schema(docs, Params(max_paths=30, max_keys=10, cache=False).named("Simple"))
+    assert n.keys["by"].kind == "dynamic" and n.keys["by"].items.keys["n"].facts["maximum"] == (4, False) and set(n.keys) == {"id", "by"}
+
+
 def test_objects_and_dependencies(spark):
     n = shred(from_values(spark, [{"foo": 1, "bar": 2}, {"baz": 3}, {"foo": 4}])).nodes
     assert {(r.key, r.needs) for r in M.dependencies(n).collect()} == {("bar", "foo")}
