@@ -173,7 +173,8 @@ def _least(a: dict, b: dict) -> dict:
 
 def top_format(counts: dict[str, int], threshold: float = 1.0) -> str | None:
     total = sum(counts.values())
-    name = max(counts, key=lambda k: (counts[k], k != "none")) if counts else "none"
+    named = {k: c for k, c in counts.items() if k != "none"}
+    name = max(named, key=lambda k: named[k]) if named else "none"
     return name if total >= 10 and name != "none" and counts[name] >= threshold * total else None
 
 

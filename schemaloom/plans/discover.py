@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.exprs import format_of, formats
-from schemaloom.model import ZERO, Node, merge, plain
+from schemaloom.model import ZERO, Node, merge, plain, top_format
 from schemaloom.operators import monoids as M
 from schemaloom.operators import relations
 from schemaloom.params import Params
@@ -125,7 +125,9 @@ def _facts(r, d: Discovery, extra: dict[str, dict]) -> dict[str, Any]:
     elif r.type == "string":
         f |= {k: row[k] for k in ("min_length", "max_length") if has(k)}
         if has("format"):
-            f["formats"] = {k: c for k, c in row["formats"].asDict().items() if c}
+            found = {k: c for k, c in row["formats"].asDict().items() if c}
+            best = top_format(found, p.format_threshold)
+            f["formats"] = {best: r["count"]} if best else found
         if has("pattern"):
             pre, suf = _prefix(r.low, r.high), _prefix(r.back_low, r.back_high)[::-1]
             if len(pre) + len(suf) < r.min_length:

@@ -89,6 +89,9 @@ def test_strings(spark):
     n = shred(from_values(spark, [{"s": f"pre{i:02}post", "d": f"2020-01-{i:02}", "n": f"{i}.5"} for i in range(10, 22)])).nodes
     assert {(r.path, r.prefix, r.suffix) for r in M.affixes(n).collect() if r.path == "$.s"} == {("$.s", "pre", "post")}
     assert {(r.path, r.format) for r in M.string_formats(n).collect()} == {("$.d", "date")}
+    mostly = from_values(spark, [{"d": f"2020-01-{i:02}"} for i in range(10, 22)] + [{"d": "soon"}])
+    for threshold, format_ in ((1.0, None), (0.9, "date")):
+        assert model.document(discover_schema(mostly, Params(format_threshold=threshold).named("Simple")))["properties"]["d"].get("format") == format_
     assert {r.path: r.is_numeric for r in M.numeric_strings(n).collect()} == {"$.s": False, "$.d": False, "$.n": True}
 
 
