@@ -98,10 +98,10 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, max_broadcast: int = 100_
     enough = F.col("size") >= min_group
     fine = fine.where(enough).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.col(n).alias(f"f_{n}") for n in names))
     coarse = coarse.where(enough).select(F.col("lang").alias("_lang"), *(F.col(n).alias(f"c_{n}") for n in names))
-    last = all_.select(*(F.col(n).alias(f"a_{n}") for n in names))
+    whole = all_.first()  # one row, or none of an empty table
     groups = sketch.select("lang", "source").distinct()
     groups = groups.join(fine, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(coarse, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    groups = groups.join(F.broadcast(last)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.coalesce(f"f_{n}", f"c_{n}", f"a_{n}").alias(n) for n in names))  # last: one row
+    groups = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.coalesce(f"f_{n}", f"c_{n}", F.lit(whole[n] if whole else None).cast("long")).alias(n) for n in names))
     groups = broadcast_if_small(materialise(groups, "cutoffs"), max_broadcast)
     judged = m.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
