@@ -38,14 +38,14 @@ def key_scores(nodes: DataFrame, exact: bool = True) -> DataFrame:
     leaves = nodes.where("type IN ('integer', 'number', 'string') AND key IS NOT NULL")
     facts = leaves.groupBy("path", "type").agg(F.max("depth").alias("depth"), F.max(F.lower("key")).alias("key"), F.max(F.length("s")).alias("longest"), F.count("*").alias("n"), F.count_if(F.col("s").rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")).alias("uuids"))
     distinct = (M.distinct_counts if exact else M.approx_distinct)(leaves).select("path", "type", "distinct_values")
-    total = nodes.where("depth = 0").agg(F.count("*").alias("total"))
+    total = nodes.where("depth = 0").count()
     named = F.lit(False)
     for w in KEY_WORDS:
         named = named | F.col("key").startswith(w) | F.col("key").endswith(w)
     slack = F.lit(1.0) if exact else F.lit(1.03)
     length = F.when(F.col("uuids") == F.col("n"), 0).otherwise(F.coalesce("longest", F.lit(0)))
     score = F.when(named, 1.0).otherwise(0.0) + 1 / (F.col("depth") + 1) + F.when(F.col("type").isin("integer", "string"), 1.0).otherwise(0.0) + 1 / F.greatest(F.lit(1.0), (length - KEY_LENGTH_PENALTY).cast("double"))
-    found = facts.join(distinct, ["path", "type"]).join(F.broadcast(total)).where(F.col("distinct_values") * slack >= F.col("total"))  # total: one row
+    found = facts.join(distinct, ["path", "type"]).where(F.col("distinct_values") * slack >= total)
     return found.select("path", score.alias("score"))
 
 
@@ -54,8 +54,8 @@ def primary_keys(nodes: DataFrame) -> DataFrame:
     s = key_scores(nodes)
     order = W.orderBy(F.desc("score"), "path")  # schema rows only
     ranked = s.select("path", "score", F.row_number().over(order).alias("rank"), (F.lead("score").over(order) - F.col("score")).alias("drop"))
-    cliff = ranked.where(F.col("drop").isNotNull()).agg(F.min_by("rank", F.struct("drop", "rank")).alias("cliff"))
-    return ranked.join(F.broadcast(cliff)).where(F.col("cliff").isNull() | (F.col("rank") <= F.col("cliff"))).select("path", "score")
+    cliff = ranked.where(F.col("drop").isNotNull()).agg(F.min_by("rank", F.struct("drop", "rank")).alias("cliff")).first().cliff
+    return (ranked if cliff is None else ranked.where(F.col("rank") <= cliff)).select("path", "score")
 
 
 def foreign_keys(nodes: DataFrame) -> DataFrame:
