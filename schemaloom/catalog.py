@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable
 from functools import reduce
@@ -10,19 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import model
+from schemaloom.cli import serve
 from schemaloom.functions.exprs import GAMMA, bin_value, formats
 from schemaloom.functions.numbers import contract, widen
 from schemaloom.model import of_value
 from schemaloom.operators import monoids as M
 from schemaloom.operators import passes, relations
 from schemaloom.operators import tables as X
+from schemaloom.operators.split import split_discover
 from schemaloom.operators.validate import find_anomalies
 from schemaloom.params import Params
 from schemaloom.plans.discover import discover, discover_schema, grouped_nodes
 from schemaloom.plans.shred import shred, shred_strict
 from schemaloom.sources.documents import bad_documents, from_table, from_text_column
-from schemaloom.sources.schema_import import load, resolve_references
-from schemaloom.sources.sinks import schema_json
+from schemaloom.sources.schema_import import Unsupported, detect, load, resolve_references
+from schemaloom.sources.sinks import schema_json, value_rows
+from schemaloom.streaming.discover import key_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,6 +557,143 @@ def pointers(spark, sf):
     return spark.createDataFrame([(p, f.kind if f else "none") for p, f in (("/a/0", model.find(n, "/a/0")), ("/b~1c", model.find(n, "/b~1c")), ("/d/e", model.find_inexact(n, "/d/e")))], "pointer string, kind string")
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def folded(*vs) -> model.Node:
+    return reduce(model.merge, map(of_value, vs), model.ZERO)
+
+
+@query("enum_pass", "SELECT DISTINCT event_type AS value FROM events WHERE (SELECT count(*) > 10 * count(DISTINCT event_type) FROM events)")
+def enum_pass(spark, sf):
+    n = discover_schema(docs_of(spark, sf, "events", "event_id", t="event_type"), Params().only("examples", "format", "properties", "required"))
+    found = passes.enums(n).keys["t"]
+    return literal(spark, [(v,) for v in found.get("enum", ())], "value string")
+
+
+@query("dynamic_pass", "SELECT 'dynamic' AS kind, count(*)::BIGINT AS members FROM (SELECT 1)")
+def dynamic_pass(spark, sf):
+    df = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nation: 25 rows
+    docs = df.select(F.col("c_custkey").alias("doc_id"), F.to_json(F.struct(F.create_map("n_name", "c_acctbal").alias("by"))).alias("json"))
+    n = passes.dynamic_objects(discover_schema(docs, Params().only("properties", "presence", "required", "minimum"))).keys["by"]
+    return literal(spark, [(n.kind, int(n.items is not None))], "kind string, members long")
+
+
+@query("disjoint_pass", "SELECT unnest(['bar,foo', 'baz,quux']) AS keys")
+def disjoint_pass(spark, sf):
+    n = passes.disjoint_objects(folded({"foo": 1, "bar": 2}, {"baz": 1, "quux": 2}), {"$": [{"bar", "foo"}, {"baz", "quux"}]})
+    return literal(spark, [(",".join(sorted(p.keys)),) for p in n.parts], "keys string")
+
+
+@query("definitions_pass", "SELECT '$.foo' AS path, '#/$defs/defn0' AS target UNION ALL SELECT '$.quux', '#/$defs/defn0'")
+def definitions_pass(spark, sf):
+    n = passes.shared_definitions(of_value({"foo": {"bar": 1, "baz": 2}, "quux": {"bar": 3, "baz": 4}}))
+    return literal(spark, [(p, x.target) for p, x in model.walk(n) if x.kind == "reference"], "path string, target string")
+
+
+@query("format_length_pass", "SELECT 'date' AS format, false AS has_length")
+def format_length_pass(spark, sf):
+    n = passes.reset_format_lengths(discover_schema(docs_of(spark, sf, "orders", "o_orderkey", d="date_format(o_orderdate, 'yyyy-MM-dd')"), Params().named("Simple"))).keys["d"]
+    return literal(spark, [(model.top_format(n.facts["formats"]), "min_length" in n.facts)], "format string, has_length boolean")
+
+
+@query("split_expand", "SELECT true AS final_covers_train, true AS final_covers_test")
+def split_expand(spark, sf):
+    docs = docs_of(spark, sf, "orders", "o_orderkey", cust="o_custkey", status="o_orderstatus", price="IF(o_orderkey % 9 = 0, NULL, o_totalprice)")
+    s = split_discover(docs, 0.1, Params().named("Simple"))
+    return literal(spark, [(model.covers(s.final, s.train), model.covers(s.final, s.test))], "final_covers_train boolean, final_covers_test boolean")
+
+
+@query("tree_incompatibilities", SQL["incompatibilities"])
+def tree_incompatibilities(spark, sf):
+    docs, keep = docs_of(spark, sf, "orders", "o_orderkey", price="o_totalprice"), Params().only("minimum", "maximum", "required", "properties", "additional")
+    own, other = discover_schema(docs.where("doc_id % 100 = 1"), keep), discover_schema(docs.where("doc_id % 100 <> 1"), keep)
+    return literal(spark, list(model.gaps(own, other)), "path string, property string")
+
+
+@query("product_matches", "SELECT * FROM (VALUES ('allOf', 3, false), ('allOf', 7, true), ('allOf', 12, false), ('anyOf', 3, true), ('anyOf', 7, true), ('anyOf', 12, true), ('oneOf', 3, true), ('oneOf', 7, false), ('oneOf', 12, true)) AS t(how, value, valid)")
+def product_matches(spark, sf):
+    parts = [{"type": "integer", "maximum": 10}, {"type": "integer", "minimum": 5}]
+    return literal(spark, [(how, v, not model.anomalies(load({how: parts}), v)) for how in ("allOf", "anyOf", "oneOf") for v in (3, 7, 12)], "how string, value int, valid boolean")
+
+
+@query("import_refusals", "SELECT unnest(['if', 'not', 'unevaluatedProperties', 'dependencies', 'dependentSchemas', 'contains', 'unevaluatedItems', 'additionalProperties', 'type date', 'items with prefixItems']) AS keyword")
+def import_refusals(spark, sf):
+    bad = [{"if": {}}, {"type": "object", "not": {"type": "null"}}, {"unevaluatedProperties": False}, {"dependencies": {}}, {"dependentSchemas": {}}, {"contains": {}}, {"unevaluatedItems": False}, {"type": "object", "additionalProperties": {"type": "null"}}, {"type": "date"}, {"type": "array", "prefixItems": [{}], "items": [{}]}]
+    rows = []
+    for doc in bad:
+        try:
+            load(doc)
+        except Unsupported as e:
+            rows.append((str(e),))
+    return literal(spark, rows, "keyword string")
+
+
+@query("type_detection", "SELECT * FROM (VALUES ('minItems', 'array'), ('minimum', 'number'), ('required', 'object'), ('pattern', 'string'), ('title', 'none')) AS t(keyword, kind)")
+def type_detection(spark, sf):
+    return literal(spark, [(k, detect({k: 1}) or "none") for k in ("minItems", "minimum", "required", "pattern", "title")], "keyword string, kind string")
+
+
+@query("merge_kinds", "SELECT * FROM (VALUES ('union', 'integer', 'number', 'number'), ('union', 'integer', 'string', 'product'), ('union', 'any', 'string', 'any'), ('union', 'zero', 'string', 'string'), ('intersect', 'integer', 'string', 'zero'), ('intersect', 'any', 'string', 'string'), ('intersect', 'zero', 'string', 'zero'), ('intersect', 'integer', 'number', 'number')) AS t(how, a, b, kind)")
+def merge_kinds(spark, sf):
+    kinds = {"integer": of_value(1), "number": of_value(1.5), "string": of_value("x"), "any": model.ANY, "zero": model.ZERO}
+    cases = [("union", "integer", "number"), ("union", "integer", "string"), ("union", "any", "string"), ("union", "zero", "string"), ("intersect", "integer", "string"), ("intersect", "any", "string"), ("intersect", "zero", "string"), ("intersect", "integer", "number")]
+    return literal(spark, [(how, a, b, model.merge(kinds[a], kinds[b], how).kind) for how, a, b in cases], "how string, a string, b string, kind string")
+
+
+@query("tuple_merge", "SELECT * FROM (VALUES (1, 'tuple'), (2, 'list')) AS t(lengths, kind)")
+def tuple_merge(spark, sf):
+    return literal(spark, [(k, "tuple" if n.tuple is not None else "list") for k, n in ((1, folded([1, 2], [3, 4])), (2, folded([1, 2], [3])))], "lengths int, kind string")
+
+
+@query("multiple_expansion", "SELECT * FROM (VALUES (12, 18, 6.0), (6, 12, 6.0), (7, 3, 1.0)) AS t(own, other, multiple)")
+def multiple_expansion(spark, sf):
+    out = []
+    for own, other in ((12, 18), (6, 12), (7, 3)):
+        n = model.expand(model.Node("integer", {"multiple": own}), model.Node("integer", {"multiple": other}))
+        out.append((own, other, float(n.get("multiple", 0))))
+    return literal(spark, out, "own int, other int, multiple double")
+
+
+@query("schema_walk", "SELECT * FROM (VALUES ('$', 'object'), ('$.a', 'array'), ('$.a[*]', 'integer'), ('$.b', 'array'), ('$.b[0]', 'integer'), ('$.b[1]', 'string'), ('$.c', 'product'), ('$.c[0]', 'boolean'), ('$.c[1]', 'null')) AS t(path, kind)")
+def schema_walk(spark, sf):
+    n = folded({"a": [1], "b": [1, "x"], "c": True}, {"a": [1, 2], "b": [2, "y"], "c": None})
+    return literal(spark, [(p, x.kind) for p, x in model.walk(n)], "path string, kind string")
+
+
+@query("schema_edits", "SELECT * FROM (VALUES ('replace', 'a:string,b:integer'), ('only_keys', 'b:integer'), ('only_facts', 'a:integer,b:integer')) AS t(edit, keys)")
+def schema_edits(spark, sf):
+    n = of_value({"a": 1, "b": 2})
+    show = lambda x: ",".join(f"{k}:{v.kind}" for k, v in sorted(x.keys.items()))
+    return literal(spark, [("replace", show(model.replace_at(n, "/a", of_value("x")))), ("only_keys", show(model.only_keys(n, {"b"}))), ("only_facts", show(model.only_facts(n, {"minimum"})))], "edit string, keys string")
+
+
+@query("serving_protocol", "SELECT * FROM (VALUES (1, 'true,false'), (2, 'skipped')) AS t(seq, reply)")
+def serving_protocol(spark, sf):
+    asked = [{"cmd": "start", "version": 1}, {"cmd": "dialect"}, {"cmd": "run", "seq": 1, "case": {"schema": {"type": "integer"}, "tests": [{"instance": 1}, {"instance": "x"}]}}, {"cmd": "run", "seq": 2, "case": {"schema": {"if": {}}, "tests": []}}, {"cmd": "stop"}]
+    out = io.StringIO()
+    serve(io.StringIO("\n".join(map(json.dumps, asked))), out)
+    rows = []
+    for reply in map(json.loads, out.getvalue().splitlines()):
+        if "seq" in reply:
+            rows.append((reply["seq"], "skipped" if reply.get("skipped") else ",".join(str(r["valid"]).lower() for r in reply["results"])))
+    return literal(spark, rows, "seq int, reply string")
+
+
+@query("value_csv", "SELECT 0 AS line, '$.r_name' AS cell UNION ALL SELECT row_number() OVER (ORDER BY r_name), r_name FROM (SELECT DISTINCT r_name FROM region)")
+def value_csv_query(spark, sf):
+    n = discover_schema(docs_of(spark, sf, "region", "r_regionkey", r_name="r_name"))
+    return literal(spark, [(k, r[0]) for k, r in enumerate(value_rows(n))], "line int, cell string")
+
+
+@query("windowed_key_counts", "SELECT count(DISTINCT date_trunc('hour', ts))::BIGINT AS windows, count(*)::BIGINT AS documents FROM events WHERE props IS NOT NULL")
+def windowed_key_counts(spark, sf):
+    docs = table(spark, sf, "events").where("props IS NOT NULL").select("ts", F.col("props").alias("json"))
+    counts = key_counts(docs, "ts", "1 hour")
+    return counts.agg(F.count_distinct("start").alias("windows"), F.sum("documents").alias("documents"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The property table of orders as documents, with every plain fact."""
     d = discover(from_table(table(spark, sf, "orders"), "o_orderkey"))
