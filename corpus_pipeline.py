@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.common import materialise, table
+from schemaloom.llm.common import free_name, materialise, table
 from schemaloom.llm.decontam import clean_documents
 from schemaloom.llm.entries import tokenizer_path
 from schemaloom.llm.linededup import dedup_lines
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines repeated elsewhere."""
-    kept = dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    kept = dedup_lines(docs, counts=(free_name(docs, "n_lines"), free_name(docs, "n_dropped"))).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that df has no column of (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,4 +87,5 @@ def with_arrow_columns(df: DataFrame, inputs: list[str], make: Callable[[], Call
             yield out if keep is None else out.filter(pa.array(keep(*new), pa.bool_()))
 
     schema = StructType([*(f for f in df.schema if f.name in names), *added])
-    return df.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+    plain = df.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{k}" for k in range(len(names))))  # mapInArrow can't name columns with dots
+    return plain.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.common import materialise, with_arrow_columns
+from schemaloom.llm.common import free_name, materialise, with_arrow_columns
 
 WORD = re.compile(r"\w+")
 
@@ -257,5 +257,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, s: Settings = Settings(),
             index = Index(shared.value, s)
             return lambda texts: [[bool(index.matches(t)) for t in texts]]
 
-        docs = with_arrow_columns(docs, [text_col], make, "_leaks boolean", lambda leak: [not x for x in leak]).select(*columns)
+        docs = with_arrow_columns(docs, [text_col], make, f"`{free_name(docs, 'leaks')}` boolean", lambda leak: [not x for x in leak]).select(*(f"`{c}`" for c in columns))
     return docs

@@ -175,15 +175,15 @@ def score_text(words: list[bytes], model: Model) -> float:
     return sigmoid(model.bias + float(model.weights[index] @ x))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", at_least: float | None = None) -> DataFrame:
-    """docs with a score column; with at_least, only rows that score so much."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", at_least: float | None = None, name: str = "score") -> DataFrame:
+    """docs with a score column of that name (an old one is replaced); with at_least, only rows that score so much."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes x 2^bits
 
     def make():
         m = shared.value
         return lambda texts: [[score_text(tokens(t), m) for t in texts]]
 
-    return with_arrow_columns(docs, [text_col], make, "score double", (lambda scores: [x >= at_least for x in scores]) if at_least is not None else None)
+    return with_arrow_columns(docs, [text_col], make, f"`{name}` double", (lambda scores: [x >= at_least for x in scores]) if at_least is not None else None)
 
 
 def held_out(doc_id: Column) -> Column:

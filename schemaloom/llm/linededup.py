@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm.common import BLANKS, materialise, shared_dir, small_batches
+from schemaloom.llm.common import BLANKS, free_name, materialise, shared_dir, small_batches
 
 STRIP = BLANKS.encode()
 NULL_ID = -(1 << 63)
@@ -127,14 +127,15 @@ def dropped_lines(docs: DataFrame, store: LineRuns | None = None, min_docs: int
     return lost.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, store: LineRuns | None = None, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text replaced by its kept lines, and n_lines and n_dropped added."""
+def dedup_lines(docs: DataFrame, store: LineRuns | None = None, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text replaced by its kept lines, and two counts added: lines, and dropped ones (old columns of these names go)."""
     drops = dropped_lines(docs, store, min_docs, min_chars, id_col, text_col)
-    drops = drops.select(F.col("doc_id").alias("_drop_id"), F.col("drop").alias("_drop"))
-    met = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).join(drops, F.col("_key") == F.col("_drop_id"), "left").drop("_key", "_drop_id")
-    fields = [f for f in docs.schema if f.name not in ("n_lines", "n_dropped")]
+    key, drop_id, drop = (free_name(docs, x) for x in ("key", "drop_id", "drop"))
+    drops = drops.select(F.col("doc_id").alias(drop_id), F.col("drop").alias(drop))
+    met = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).join(drops, F.col(key) == F.col(drop_id), "left")
+    fields = [f for f in docs.schema if f.name not in counts]
     at = [f.name for f in fields].index(text_col)
-    met = met.select(*(f.name for f in fields), "_drop")
+    met = met.select(*(f"`{f.name}`" for f in fields), drop).toDF(*(f"c{k}" for k in range(len(fields) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +152,9 @@ def dedup_lines(docs: DataFrame, store: LineRuns | None = None, min_docs: int =
                 gone.append(len(lines) - len(stay))
             columns = list(batch.columns[: len(fields)])
             columns[at] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(f.name for f in fields), "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(f.name for f in fields), *counts])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{counts[0]}` long, `{counts[1]}` long"
     return met.mapInArrow(run, schema)
 
 

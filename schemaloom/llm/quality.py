@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from schemaloom.llm.common import free_name
 from schemaloom.llm.linear import Model, Settings, labelled_sample, scored, train
 
 SETTINGS = Settings()
@@ -25,4 +26,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = SETT
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, settings: Settings = SETTINGS) -> DataFrame:
     """The documents that score the threshold or more, with their own columns."""
     columns = docs.columns
-    return scored(docs, fit_quality(docs, labels, settings), at_least=threshold).select(*columns)
+    return scored(docs, fit_quality(docs, labels, settings), at_least=threshold, name=free_name(docs, "score")).select(*(f"`{c}`" for c in columns))

@@ -35,6 +35,8 @@ def test_quality_on_held_out_rows(spark):
     assert sum(a == b for a, b in judged) / len(judged) > 0.97
     kept = good_documents(documents(spark, corpus()), labels(spark), settings=s)
     assert kept.columns == documents(spark).columns and 0 < kept.count() < len(corpus())
+    clash = good_documents(documents(spark, corpus()).selectExpr("*", "'mine' AS score"), labels(spark), settings=s)
+    assert {r.score for r in clash.collect()} == {"mine"}
 
 
 def test_toxicity_and_neutral_mentions(spark):

@@ -44,6 +44,6 @@ def test_batches_and_compaction_agree_with_one_batch(spark):
 
 def test_empty_table_and_clashing_columns(spark):
     assert dedup_lines(documents(spark, [])).count() == 0
-    df = documents(spark).selectExpr("*", "1 AS h", "2 AS n_lines", "'x' AS drop")
+    df = documents(spark).selectExpr("*", "1 AS h", "2 AS n_lines", "'x' AS drop", "3 AS key", "4 AS drop_id")
     assert {"h", "drop", "n_lines", "n_dropped"} <= set(dedup_lines(df).columns)
     assert dedup_lines(df).count() == len(awkward())
