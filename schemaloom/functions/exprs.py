@@ -12,7 +12,7 @@ from schemaloom.params import HISTOGRAM_ERROR, MAX_EXAMPLE_CHARS
 GAMMA = (1 + HISTOGRAM_ERROR) / (1 - HISTOGRAM_ERROR)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-#: Formats in order of precedence; each is a pattern, found anywhere unless it is anchored.
+#: Formats in order of precedence; each is a pattern, found anywhere unless it is anchored.
 EXTENDED_FORMATS = (
     ("geo-uri", r"^(?i:geo):-?[0-9]+(?:\.[0-9]+)?,-?[0-9]+(?:\.[0-9]+)?(?:,-?[0-9]+(?:\.[0-9]+)?)?(?:;.*)?$"),
     ("doi", r"10\.[0-9]{4,9}(?:\.[0-9]+)?/[A-Za-z0-9._;()\[\]\\:/-]+"),

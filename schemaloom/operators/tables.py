@@ -30,6 +30,7 @@ def similar_objects(nodes: DataFrame, distance: float = CLUSTER_DISTANCE) -> Dat
 
 # --- keys ---
 
+#: How the names of keys begin or end.
 KEY_WORDS = ("id", "key", "nr", "no", "pk", "num", "code")
 
 
