@@ -36,9 +36,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, as one row may hold a text of megabytes."""
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "32m") -> None:
+    """Keep Arrow batches small in rows and bytes, as one row may hold a text of megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
