@@ -91,6 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from schemaloom.llm import licenses, rules
+    from schemaloom.llm import licenses, linededup, rules
 
-    return {"op4_licenses": licenses.oracle_sql(), "op6_quality_rules": rules.oracle_sql()}
+    return {"op4_licenses": licenses.oracle_sql(), "op6_quality_rules": rules.oracle_sql(), "op7_line_dedup": linededup.oracle_sql()}

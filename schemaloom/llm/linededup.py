@@ -160,3 +160,17 @@ def dedup_lines(docs: DataFrame, store: LineRuns | None = None, min_docs: int =
 
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+
+
+def oracle_sql(min_docs: int = 3, min_chars: int = 20) -> str:
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    upper = "".join(chr(65 + k) for k in range(26))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+cut AS (SELECT r, doc_id, unnest(own) AS line, unnest(range(1, len(own) + 1)) AS n FROM docs),
+lines AS (SELECT *, translate(trim(line, {blanks}), '{upper}', '{upper.lower()}') AS k FROM cut),
+repeated AS (SELECT k, max(doc_id) AS last FROM lines WHERE length(k) >= {min_chars} GROUP BY k HAVING count(DISTINCT doc_id) >= {min_docs}),
+marked AS (SELECT lines.*, coalesce(doc_id < last, false) AS gone FROM lines LEFT JOIN repeated USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(CASE WHEN gone THEN 1 END)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY r, doc_id
+"""
