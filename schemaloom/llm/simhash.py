@@ -20,16 +20,16 @@ shingle is one shingle; repeated rows share a group; a null id is never a group'
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.common import materialise, small_batches
+from schemaloom.llm.common import broadcast_if_small, materialise, small_batches
 
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -202,44 +202,108 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def similar_links(reps: DataFrame, max_bits: int, window: int = 4096) -> DataFrame:
-    """Links (a, b) of ids whose wide fingerprints differ in max_bits at most and agree on a band of 16 bits.
+def links_within(bounds: np.ndarray, label: np.ndarray, near: Callable, few: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect all that near() joins within the groups bounds[k] to bounds[k + 1].
 
-    reps: id, w0 ... w3, one row per fingerprint. Rows are dealt by band value and sorted; each is compared with those
-    after it that share the band (in arrays, without emitting pairs), up to ``window`` rows on in the order of
-    fingerprints. Each task returns a spanning forest of what it found, at most one row per id and task.
+    label: rows of one label are connected already and aren't compared. near(x, y) takes row numbers, y an array.
     """
-    spark = reps.sparkSession
-    bands = F.array(*(F.struct(F.lit(k * 64 // BAND + j).alias("band"), F.shiftrightunsigned(F.col(f"w{k}"), j * BAND).bitwiseAND(F.lit((1 << BAND) - 1)).alias("value")) for k in range(WIDE) for j in range(64 // BAND)))
+    sizes = np.diff(bounds)
+    end, at = np.repeat(bounds[1:], sizes), np.flatnonzero(np.repeat(sizes <= few, sizes))
+    found = ([], [])
+    for step in range(1, few):
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        x = at[label[at] != label[at + step]]
+        x = x[near(x, x + step)] if len(x) else x
+        found[0].append(x)
+        found[1].append(x + step)
+    for k in np.flatnonzero(sizes > few):
+        lo, hi = int(bounds[k]), int(bounds[k + 1])
+        own = np.unique(label[lo:hi], return_inverse=True)[1]
+        for i in range(hi - lo - 1):
+            y = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+            y = y[near(lo + i, lo + y)] if len(y) else y
+            if len(y):
+                found[0].append(np.full(len(y), lo + i))
+                found[1].append(lo + y)
+                own[np.isin(own, own[y])] = own[i]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found[0]]), np.concatenate([none, *found[1]])
+
+
+def all_links(rows: DataFrame, measure: Callable[[pa.Table], Callable], block: int = 4096, size: Column | None = None, max_size: int = 16_000_000) -> DataFrame:
+    """Links (a, b) of ids that connect every pair of rows of one key that is near.
+
+    rows: key, id, and what measure() reads; it turns a table of rows into near(x, y). A key of up to ``block`` rows (and
+    ``max_size`` of the sum of size) is compared in one task. Larger ones are cut into blocks. First each block is compared within itself
+    and with a few rows common to all blocks, which joins most of a group of like rows. Of what that left in other
+    components than the key's largest, each block then meets each block of the key. So no pair of different components
+    is left out, no task gets over two blocks of a key, and a group of like rows is dealt a few times only.
+    """
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.repartition(parts, "id").select("id", *(f"w{k}" for k in range(WIDE)), F.explode(bands).alias("b")).select((F.col("b.band") * (1 << BAND) + F.col("b.value")).cast("long").alias("key"), "id", *(f"w{k}" for k in range(WIDE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        key, id_ = t["key"].to_numpy(), t["id"].to_numpy()
-        fps = np.stack([t[f"w{k}"].to_numpy() for k in range(WIDE)], axis=1).view("<u8")
-        order = np.lexsort((id_, *(fps[:, k] for k in range(WIDE - 1, -1, -1)), key))
-        key, id_, fps = key[order], id_[order], fps[order]
-        at, found = np.arange(len(key)), ([], [])
-        for step in range(1, min(window, len(key) - 1) + 1):
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                break
-            near = np.bitwise_count(fps[at] ^ fps[at + step]).sum(axis=1) <= max_bits
-            found[0].append(id_[at[near]])
-            found[1].append(id_[at[near] + step])
-            if len(found[0]) >= 256:  # keep what is found small
-                x, y = forest(np.concatenate(found[0]), np.concatenate(found[1]))
-                found = ([x], [y])
-        if found[0]:
-            a, b = forest(np.concatenate(found[0]), np.concatenate(found[1]))
+        key, part, id_ = (t[c].to_numpy() for c in ("key", "part", "id"))
+        order = np.lexsort((id_, part, key))
+        key, part, t = key[order], part[order], t.take(pa.array(order))
+        bounds = np.r_[0, np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1, len(key)]
+        id_ = t["id"].to_numpy()
+        x, y = links_within(bounds, t["label"].to_numpy(), measure(t))
+        if len(x):
+            a, b = forest(id_[x], id_[y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.repartition(parts, "key").mapInArrow(run, "a long, b long")
+    columns = [c for c in rows.columns if c not in ("key", "id")]
+    dealt = lambda df: df.select("key", "part", "id", "label", *columns).repartition(parts, "key", "part").mapInArrow(run, "a long, b long")
+    alone = rows.withColumns({"part": F.lit(0).cast("long"), "label": F.col("id")})
+    sums = rows.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.lit(0) if size is None else size).alias("_size"))
+    crowds = sums.select("key", "_n", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_size") / max_size)).alias("_k")).where("_k > 1 AND _n > 1")
+    crowds = materialise(crowds, "crowds")
+    if not crowds.limit(1).count():
+        return dealt(alone)
+    crowds = broadcast_if_small(crowds, 100_000)
+    big = materialise(rows.join(crowds, "key"), "crowded")
+    spread = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    common = spread(2, F.col("_n")) < 64
+    own = spread(1, F.col("_k"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)
+    first = big.withColumns({"part": F.explode(F.when(common, every).otherwise(F.array(own))), "label": F.col("id")})
+    found = materialise(dealt(alone.join(crowds, "key", "left_anti")).unionByName(dealt(first)), "found")
+    big = big.join(components(found), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "id")).drop("node", "root")
+    big = materialise(big, "labelled")
+    most = big.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("_most"), F.count("*").alias("_labels"))
+    big = big.join(broadcast_if_small(most.where("_labels > 1"), 100_000), "key").withColumn("_other", F.col("label") != F.col("_most"))
+    # Rows outside the largest component, in as many blocks as their share of the key asks for.
+    others = big.where("_other").groupBy("key").agg(F.count("*").alias("_s"), F.sum(F.lit(0) if size is None else size).alias("_t"))
+    others = others.select("key", F.greatest(F.lit(1), F.ceil(F.col("_s") / block), F.ceil(F.col("_t") / max_size)).alias("_m"))
+    big = big.join(broadcast_if_small(others, 100_000), "key")
+    pair = lambda i, j: i * F.col("_m") + j
+    along = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), lambda j: pair(own, j))
+    across = F.transform(every, lambda i: pair(i, spread(3, F.col("_m"))))
+    second = big.withColumn("part", F.explode(F.when(F.col("_other"), F.array_union(along, across)).otherwise(along)))
+    return found.unionByName(dealt(second))
+
+
+def similar_links(reps: DataFrame, max_bits: int, window: int = 4096) -> DataFrame:
+    """Links (a, b) of ids that connect all whose wide fingerprints differ in max_bits at most and agree on a band of 16 bits.
+
+    reps: id, w0 ... w3, one row per fingerprint. Rows are dealt by band value, those of crowded values in blocks of ``window`` rows.
+    """
+    bands = F.array(*(F.struct(F.lit(k * 64 // BAND + j).alias("band"), F.shiftrightunsigned(F.col(f"w{k}"), j * BAND).bitwiseAND(F.lit((1 << BAND) - 1)).alias("value")) for k in range(WIDE) for j in range(64 // BAND)))
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = reps.repartition(parts, "id").select("id", *(f"w{k}" for k in range(WIDE)), F.explode(bands).alias("b")).select((F.col("b.band") * (1 << BAND) + F.col("b.value")).cast("long").alias("key"), "id", *(f"w{k}" for k in range(WIDE)))
+
+    def measure(t: pa.Table) -> Callable:
+        fps = np.stack([t[f"w{k}"].to_numpy() for k in range(WIDE)], axis=1).view("<u8")
+        return lambda x, y: np.bitwise_count(fps[x] ^ fps[y]).sum(axis=-1) <= max_bits
+
+    return all_links(rows, measure, window)
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

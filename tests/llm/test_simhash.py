@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from helpers import awkward, documents
 
-from schemaloom.llm.simhash import components, fingerprint, forest, keep_one, links, near_groups, signed, similar_groups, wide_fingerprint
+from schemaloom.llm.simhash import components, fingerprint, forest, keep_one, links, near_groups, signed, similar_groups, similar_links, wide_fingerprint
 
 
 def plain(text, k=3):
@@ -117,3 +117,20 @@ def test_forest_joins_what_edges_join():
 
 def test_wide_fingerprint_begins_with_the_plain_one():
     assert all(int(wide_fingerprint(t, 3)[0]) == fingerprint(t) for _, t, *_ in awkward())
+
+
+def test_crowded_bands_compare_all_pairs(spark):
+    """Each row's partner lies further off, in the order of fingerprints, than the window; all share one band."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = [rng.getrandbits(64) & ~0xFFFF, *(rng.getrandbits(64) for _ in range(3))]
+        other = [base[0] ^ 1 << 63, *(w ^ sum(1 << 16 * j for j in range(4)) for w in base[1:])]
+        other[0] ^= sum(1 << 16 * j for j in (1, 2))
+        rows += [(i, *map(signed, base)), (1000 + i, *map(signed, other))]
+    crowd = [rng.getrandbits(64) & ~0xFFFF, *(rng.getrandbits(64) for _ in range(3))]
+    rows += [(2000 + i, signed(crowd[0] ^ 1 << 16 + i % 48), signed(crowd[1] ^ 1 << i // 48), *map(signed, crowd[2:])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, w0 long, w1 long, w2 long, w3 long")
+    for window in (8, 4096):
+        root = {r.node: r.root for r in components(similar_links(df, 20, window)).collect()}
+        assert root == {**{i: i for i in range(60)}, **{1000 + i: i for i in range(60)}, **{2000 + i: 2000 for i in range(200)}}
