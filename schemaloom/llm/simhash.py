@@ -10,8 +10,8 @@ linked. So no group is ever expanded into all pairs, and no link is lost. Groups
 alternating large-star and small-star steps over written tables.
 
 Few bits of 64 reach only very near texts: at a Jaccard similarity of 0.8 of word shingles, fingerprints differ in 15 % of
-their bits on average. ``similar_groups`` therefore adds a second search over 256-bit fingerprints of the same shingles,
-by equality of bands of 16 bits and comparison of all bits; it is approximate, and linear in what it returns.
+their bits on average. ``similar_groups`` therefore takes them for candidates only, adds those of MinHash bands, and
+links by the shingles themselves.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; a text of fewer words than a
 shingle is one shingle; repeated rows share a group; a null id is never a group's id unless all its ids are null.
@@ -19,7 +19,6 @@ shingle is one shingle; repeated rows share a group; a null id is never a group'
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm.common import broadcast_if_small, materialise, small_batches
+from schemaloom.llm.jaccard import signatures, sketches_near, texts_near
 
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -162,28 +162,6 @@ def wide_fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> np.n
     return out
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, w0 ... w3."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], "<u8").reshape(-1, WIDE).view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WIDE))], names=["doc_id", *(f"w{k}" for k in range(WIDE))])
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"w{k} long" for k in range(WIDE)))
-
-
-def bits_for(similarity: float) -> int:
-    """The Hamming distance of wide fingerprints up to which texts count as having that Jaccard similarity of shingles.
-
-    The expected distance and one standard deviation, since a missed copy does more harm than a dropped one of 0.77.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * WIDE * share + math.sqrt(64 * WIDE * share * (1 - share)))
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its component) that join what the edges (a, b) join."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -205,7 +183,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links_within(bounds: np.ndarray, label: np.ndarray, near: Callable, few: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that connect all that near() joins within the groups bounds[k] to bounds[k + 1].
 
-    label: rows of one label are connected already and aren't compared. near(x, y) takes row numbers, y an array.
+    label: rows of one label are connected already and aren't compared. near(x, y) takes row numbers: two arrays for groups
+    of at most ``few`` rows, one row and an array for larger ones, which are done one after the other.
     """
     sizes = np.diff(bounds)
     end, at = np.repeat(bounds[1:], sizes), np.flatnonzero(np.repeat(sizes <= few, sizes))
@@ -232,7 +211,7 @@ def links_within(bounds: np.ndarray, label: np.ndarray, near: Callable, few: int
     return np.concatenate([none, *found[0]]), np.concatenate([none, *found[1]])
 
 
-def all_links(rows: DataFrame, measure: Callable[[pa.Table], Callable], block: int = 4096, size: Column | None = None, max_size: int = 16_000_000) -> DataFrame:
+def all_links(rows: DataFrame, measure: Callable[[pa.Table], Callable], block: int = 4096, size: Column | None = None, max_size: int = 16_000_000, few: int = 32) -> DataFrame:
     """Links (a, b) of ids that connect every pair of rows of one key that is near.
 
     rows: key, id, and what measure() reads; it turns a table of rows into near(x, y). A key of up to ``block`` rows (and
@@ -254,7 +233,7 @@ def all_links(rows: DataFrame, measure: Callable[[pa.Table], Callable], block: i
         key, part, t = key[order], part[order], t.take(pa.array(order))
         bounds = np.r_[0, np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1, len(key)]
         id_ = t["id"].to_numpy()
-        x, y = links_within(bounds, t["label"].to_numpy(), measure(t))
+        x, y = links_within(bounds, t["label"].to_numpy(), measure(t), few)
         if len(x):
             a, b = forest(id_[x], id_[y])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -306,20 +285,27 @@ def similar_links(reps: DataFrame, max_bits: int, window: int = 4096) -> DataFra
     return all_links(rows, measure, window)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id by both searches: fingerprints within max_bits of 64 (none is missed), and wide
-    fingerprints as near as texts of that similarity are on average (see the README for recall). Null ids are left out."""
-    marked = materialise(wide_fingerprints(docs, shingle, id_col, text_col).where("doc_id IS NOT NULL"), "wide")
-    wide = [f"w{k}" for k in range(WIDE)]
-    reps = materialise(marked.groupBy(*wide).agg(F.min("doc_id").alias("id")), "reps")
-    by_first = materialise(reps.groupBy(F.col("w0").alias("fp")).agg(F.min("id").alias("least")), "firsts")
-    near = links(by_first.select("fp"), max_bits, segments)
-    ends = near.join(by_first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    same = reps.join(by_first, F.col("w0") == F.col("fp")).where("id <> least")
-    edges = ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("id").alias("a"), F.col("least").alias("b"))).unionByName(similar_links(reps, bits_for(similarity)))
-    roots = components(edges)
-    placed = materialise(reps.join(roots, reps.id == roots.node, "left").select(*wide, F.coalesce("root", "id").alias("component_id")), "groups")
-    return marked.join(placed, wide).select("doc_id", "component_id")
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 3, segments: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """doc_id and component_id: texts linked by a Jaccard similarity of their shingles of ``similarity`` or more.
+
+    Candidates are fingerprints within max_bits of 64 and MinHash bands (see jaccard.py); the shingles decide. Null ids are left out.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    marked = materialise(signatures(named, shingle, id_col, text_col).where("doc_id IS NOT NULL"), "signatures")
+    reps = marked.groupBy("e0", "e1").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch")))
+    reps = materialise(reps, "reps")
+    by_first = materialise(reps.groupBy("fp").agg(F.min("id").alias("least")), "firsts")
+    close = links(by_first.select("fp"), max_bits, segments)
+    ends = close.join(by_first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = reps.join(by_first, "fp").where("id <> least")
+    bands = reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").select(F.explode("bands").alias("key"), "id", "n", "sketch")
+    candidates = ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("id").alias("a"), F.col("least").alias("b"))).unionByName(all_links(bands, sketches_near(similarity), block))
+    members = broadcast_if_small(materialise(components(candidates), "candidates"), 500_000)
+    texts = named.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = materialise(texts.join(members, F.col("id") == F.col("node")).select(F.col("root").alias("key"), "id", "text"), "texts")
+    roots = components(all_links(texts, texts_near(similarity, shingle), block, F.length("text"), few=0))
+    placed = materialise(reps.join(roots, reps.id == roots.node, "left").select("e0", "e1", F.coalesce("root", "id").alias("component_id")), "groups")
+    return marked.join(placed, ["e0", "e1"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 3, segments: int = 2, id_col: str = "doc_id") -> DataFrame:

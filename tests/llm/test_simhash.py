@@ -134,3 +134,26 @@ def test_crowded_bands_compare_all_pairs(spark):
     for window in (8, 4096):
         root = {r.node: r.root for r in components(similar_links(df, 20, window)).collect()}
         assert root == {**{i: i for i in range(60)}, **{1000 + i: i for i in range(60)}, **{2000 + i: 2000 for i in range(200)}}
+
+
+def test_links_equal_brute_force_around_the_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for share in (0.01, 0.02, 0.025, 0.03, 0.04):
+        for _ in range(40):
+            base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(60, 300))]
+            texts += [base, edited(rng, base, share)]
+    passage = [f"p{k}" for k in range(150)]
+    texts += [passage + [f"own{i}x{k}" for k in range(30 + i % 30)] for i in range(60)]  # a crowd about the similarity
+    texts += [edited(rng, passage, 0.01) for _ in range(60)] + [["short", "text"], ["short", "text"], ["short"]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    df = documents(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)])
+    for block in (16, 4096):
+        assert {r.doc_id: r.component_id for r in similar_groups(df, block=block).collect()} == dict(enumerate(root))
