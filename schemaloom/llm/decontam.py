@@ -6,7 +6,8 @@ a passage's query walks the postings document-at-a-time, from pivot to pivot, an
 the threshold, so that it retrieves exactly the items at or above it. Before that, all passages of a text are bounded at
 once, per item: what its rarer terms in the passage score, plus the most that its common terms can add. Retrieved items are verified on
 the text around the passage: word n-grams of the item's question and of its answer (last sentence, or last third) must
-both occur there.
+both occur there. An item longer than a window is indexed as a whole and in parts of half a window at most, which lie
+whole in some passage; a hit of a part says where the item would lie, and it is verified on all of that span.
 
 Training texts are read once, without a shuffle. The index is built from items in blocks of bounded size, each broadcast
 in turn; so the items may grow.
@@ -85,17 +86,30 @@ class Index:
         rows = [(i, t) for i, t in rows if words(t)]
         self.ids = [i for i, _ in rows]
         own = [words(t) for _, t in rows]
+        self.lengths = [len(w) for w in own]
         self.parts = [tuple((grams(p, s.ngram), min(s.ngram, len(p))) for p in parts(t)) for _, t in rows]
         counts = [Counter(w) for w in own]
+        # Entries of the index: the items, then the parts of long items, with the word at which they begin.
+        self.entries: list[tuple[int, int | None]] = [(k, None) for k in range(len(rows))]
+        pieces = []
+        for k, w in enumerate(own):
+            if len(w) > s.window:
+                edges = np.linspace(0, len(w), -(-len(w) // (s.window // 2)) + 1).round().astype(int).tolist()
+                self.entries += [(k, at) for at in edges[:-1]]
+                pieces += [w[at:end] for at, end in zip(edges, edges[1:], strict=False)]
+        self.whole: dict[int, dict[str, float]] = {}
         frequency = Counter(t for c in counts for t in c)
         n, mean = len(rows), sum(map(len, own)) / max(1, len(rows))
         idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in frequency.items()}
         postings: dict[str, tuple[list[int], list[float]]] = {}
-        rest = [0.0] * n
+        rest = [0.0] * len(self.entries)
         limit = max(3, s.common * n)
-        for k, c in enumerate(counts):
-            impact = {t: idf[t] * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * len(own[k]) / mean)) for t, f in c.items()}
+        for k, w in enumerate([*own, *pieces]):
+            c = counts[k] if k < n else Counter(w)
+            impact = {t: idf[t] * f * (s.k1 + 1) / (f + s.k1 * (1 - s.b + s.b * len(w) / mean)) for t, f in c.items()}
             whole = sum(impact.values())
+            if k < n and len(w) > s.window:
+                self.whole[k] = {t: x / whole for t, x in impact.items()}
             for t, x in impact.items():
                 items, impacts = postings.setdefault(t, ([], []))
                 items.append(k)
@@ -110,7 +124,7 @@ class Index:
                 p.block_top.append(max(impacts[at : at + s.block]))
             self.lists.append(p)
         # For the bound: postings of the rarer terms as flat arrays, and what common terms can add to each item.
-        rare = [p if len(p.items) <= limit else None for p in self.lists]
+        rare = [p if frequency[t] <= limit else None for t, p in zip(postings, self.lists, strict=True)]
         self.sizes = np.array([len(p.items) if p else 0 for p in rare] + [0], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat_items = np.array([i for p in rare if p for i in p.items], np.int64)
@@ -122,7 +136,7 @@ class Index:
 
         The bound: impacts of the item's rarer terms in the passage, repeats included, and of all its common terms.
         """
-        theta, n, half = self.s.threshold - 1e-9, len(self.ids), self.s.window // 2
+        theta, n, half = self.s.threshold - 1e-9, len(self.entries), self.s.window // 2
         at = np.flatnonzero(self.sizes[numbers])
         sizes = self.sizes[numbers[at]]
         total = int(sizes.sum())
@@ -141,7 +155,7 @@ class Index:
         return found
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: all items whose score for the terms reaches the threshold."""
+        """Block-max WAND: all entries whose score for the terms reaches the threshold."""
         theta = self.s.threshold - 1e-9
         cursors = [[self.lists[t].items[0], 0, self.lists[t]] for t in terms]  # current item, position, list
         found = []
@@ -193,13 +207,27 @@ class Index:
         get = self.number.get
         numbers = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
         best: dict[int, tuple[float, float, float, int]] = {}
+        tried: set[tuple[int, int, int]] = set()
         for k in self.passages(numbers):
             start = int(k) * half
             terms = np.unique(numbers[start : start + s.window])
-            for item, score in self.search([int(t) for t in terms if t >= 0]):
-                if item in best and best[item][0] >= score:
-                    continue
-                near = ws[max(0, start - s.window) : start + 2 * s.window]
+            for entry, score in self.search([int(t) for t in terms if t >= 0]):
+                item, at = self.entries[entry]
+                if item not in self.whole:
+                    if item in best and best[item][0] >= score:
+                        continue
+                    near = ws[max(0, start - s.window) : start + 2 * s.window]
+                else:
+                    # Where the item would begin, to a window; texts with words put in are longer.
+                    length, slack = self.lengths[item], s.window + self.lengths[item] // 2
+                    low, high = (start - length, start) if at is None else ((start - at) // s.window * s.window,) * 2
+                    if (item, low, high) in tried:
+                        continue
+                    tried.add((item, low, high))
+                    near = ws[max(0, low - slack) : max(0, high + s.window + length + slack)]
+                    score = sum(self.whole[item].get(w, 0.0) for w in set(near))
+                    if item in best and best[item][0] >= score:
+                        continue
                 (question, n), (answer, m) = self.parts[item]
                 around = {size: grams(near, size) if len(near) >= size else set() for size in {n, m}}
                 q = len(question & around[n]) / len(question) if question else 1.0

@@ -67,3 +67,18 @@ def test_awkward_rows(spark):
     assert leaks(documents(spark, []), bench).count() == 0
     assert leaks(documents(spark), bench.limit(0)).count() == 0
     assert parts("What is it? It is this one.") == (["what", "is", "it"], ["it", "is", "this", "one"]) and parts("a b c") == (["a", "b"], ["c"])
+
+
+def test_long_items_are_found_whole():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    rows = [(i, " ".join(word() for _ in range(n - 12)) + "? " + " ".join(word() for _ in range(12))) for i, n in enumerate((70, 100, 150, 220, 330, 500, 1000))]
+    index = Index([*rows, *((100 + i, t) for i, t in items())], Settings())
+    for shift in (0, 7, 33, 90):
+        for i, t in rows:
+            ws = t.split()
+            edited = [w if k % 20 else "changed" for k, w in enumerate(ws)]
+            for text in (ws, edited):
+                got = index.matches(" ".join([prose(rng, shift), *text, prose(rng, 40)]))
+                assert [g[0] for g in got] == [i]
+            assert index.matches(" ".join([prose(rng, shift), *ws[: len(ws) // 2], prose(rng, 40)])) == []
