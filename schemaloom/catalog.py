@@ -23,7 +23,7 @@ from schemaloom.operators.validate import find_anomalies
 from schemaloom.params import Params
 from schemaloom.plans.discover import discover, discover_schema, grouped_nodes
 from schemaloom.plans.shred import shred, shred_strict
-from schemaloom.sources.documents import bad_documents, from_table, from_text_column
+from schemaloom.sources.documents import bad_documents, from_table, from_text_column, from_values
 from schemaloom.sources.schema_import import Unsupported, detect, load, resolve_references
 from schemaloom.sources.sinks import schema_json, value_rows
 from schemaloom.streaming.discover import key_counts
@@ -150,7 +150,7 @@ def disjoint_keysets(spark, sf):
     a = docs_of(spark, sf, "customer", "c_custkey", cust="c_custkey", acctbal="c_acctbal")
     b = docs_of(spark, sf, "supplier", "-1 - s_suppkey", supp="s_suppkey", nation="s_nationkey")
     n = nodes_of(a.unionByName(b))
-    found = relations.disjoint_key_sets(M.key_pairs(n), M.key_presence(n))
+    found = relations.disjoint_key_sets(n)
     return spark.createDataFrame([(p, ",".join(sorted(g))) for p, gs in found.items() for g in gs], "path string, keys string")
 
 
@@ -423,22 +423,24 @@ def foreign_keys(spark, sf):
 
 # --- validation, comparison, splits ---
 
-KNOWN_SQL = "k AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_custkey) AS clo, max(o_custkey) AS chi FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 3 = 0)"
+KNOWN_SQL = "k AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, min(o_custkey) AS clo, max(o_custkey) AS chi FROM orders WHERE o_orderstatus = 'F')"
 
 
 def _checked(spark, sf):
-    fields = {"price": "o_totalprice", "cust": "o_custkey", "extra": "IF(o_orderkey % 10 = 0 AND o_custkey % 7 = 0, 1, NULL)", "status": "IF(o_orderkey % 10 = 0 AND o_custkey % 5 = 0, NULL, o_orderstatus)"}
-    n = nodes_of(docs_of(spark, sf, "orders", "o_orderkey", **fields))
-    return n.where("doc_id % 10 = 0"), n.where("doc_id % 10 <> 0 AND doc_id % 3 = 0")
+    """All orders, to be checked against the schema that the finished ones show."""
+    fields = {"price": "o_totalprice", "cust": "o_custkey", "extra": "IF(o_orderstatus <> 'F' AND o_custkey % 7 = 0, 1, NULL)", "status": "IF(o_orderstatus <> 'F' AND o_custkey % 5 = 0, NULL, o_orderstatus)"}
+    known = {"price": "o_totalprice", "cust": "o_custkey", "status": "o_orderstatus"}
+    finished = nodes_of(docs_of(spark, sf, "orders", "IF(o_orderstatus = 'F', o_orderkey, NULL)", **known).where("doc_id IS NOT NULL"))
+    return nodes_of(docs_of(spark, sf, "orders", "o_orderkey", **fields)), finished
 
 
-ANOMALY_SQL = f"""WITH {KNOWN_SQL}, c AS (SELECT * FROM orders, k WHERE o_orderkey % 10 = 0)
+ANOMALY_SQL = f"""WITH {KNOWN_SQL}, c AS (SELECT * FROM orders, k)
 SELECT o_orderkey AS doc_id, '$.price' AS path, 'below minimum' AS message, 'warning' AS level FROM c WHERE o_totalprice < lo UNION ALL
 SELECT o_orderkey, '$.price', 'above maximum', 'warning' FROM c WHERE o_totalprice > hi UNION ALL
 SELECT o_orderkey, '$.cust', 'below minimum', 'warning' FROM c WHERE o_custkey < clo UNION ALL
 SELECT o_orderkey, '$.cust', 'above maximum', 'warning' FROM c WHERE o_custkey > chi UNION ALL
-SELECT o_orderkey, '$.extra', 'unknown field', 'fatal' FROM c WHERE o_custkey % 7 = 0 UNION ALL
-SELECT o_orderkey, '$.status', 'missing required field', 'fatal' FROM c WHERE o_custkey % 5 = 0"""
+SELECT o_orderkey, '$.extra', 'unknown field', 'fatal' FROM c WHERE o_orderstatus <> 'F' AND o_custkey % 7 = 0 UNION ALL
+SELECT o_orderkey, '$.status', 'missing required field', 'fatal' FROM c WHERE o_orderstatus <> 'F' AND o_custkey % 5 = 0"""
 
 
 @query("anomalies", ANOMALY_SQL)
@@ -582,10 +584,20 @@ def dynamic_pass(spark, sf):
 
 @query("disjoint_pass", "SELECT unnest(['bar,foo', 'baz,quux']) AS keys")
 def disjoint_pass(spark, sf):
-    n = passes.disjoint_objects(folded({"foo": 1, "bar": 2}, {"baz": 1, "quux": 2}), {"$": [{"bar", "foo"}, {"baz", "quux"}]})
+    docs = from_values(spark, [{"foo": 1, "bar": 2}, {"baz": 1, "quux": 2}])
+    n = passes.disjoint_objects(discover_schema(docs), relations.disjoint_key_sets(shred(docs).nodes))
     return literal(spark, [(",".join(sorted(p.keys)),) for p in n.parts], "keys string")
 
 
+@query("disjoint_pass_accepts", "SELECT 0::BIGINT AS rejected, 3::BIGINT AS alternatives")
+def disjoint_pass_accepts(spark, sf):
+    """Optional keys that do meet stay one object, whatever their dependencies; keys that never meet become alternatives."""
+    docs = docs_of(spark, sf, "orders", "o_orderkey", p="IF(o_orderstatus = 'F', o_custkey, NULL)", q="IF(o_orderstatus = 'F' AND o_custkey % 2 = 0, 1, NULL)", r="IF(o_orderstatus = 'F' AND o_custkey % 3 = 0, 1, NULL)", s="IF(o_orderstatus = 'O', o_custkey, NULL)", t="IF(o_orderstatus = 'P', o_custkey, NULL)")
+    params = Params().only("properties", "presence", "required", "dependencies")
+    n = passes.apply(discover_schema(docs, params), params, disjoint=True, key_groups=relations.disjoint_key_sets(shred(docs).nodes))
+    return find_anomalies(docs, n).agg(F.count("*").alias("rejected")).withColumn("alternatives", F.lit(len(n.parts)).cast("long"))
+
+
 @query("definitions_pass", "SELECT '$.foo' AS path, '#/$defs/defn0' AS target UNION ALL SELECT '$.quux', '#/$defs/defn0'")
 def definitions_pass(spark, sf):
     n = passes.shared_definitions(of_value({"foo": {"bar": 1, "baz": 2}, "quux": {"bar": 3, "baz": 4}}))
@@ -630,9 +642,19 @@ def import_refusals(spark, sf):
     return literal(spark, rows, "keyword string")
 
 
-@query("type_detection", "SELECT * FROM (VALUES ('minItems', 'array'), ('minimum', 'number'), ('required', 'object'), ('pattern', 'string'), ('title', 'none')) AS t(keyword, kind)")
+@query("type_detection", "SELECT * FROM (VALUES ('minItems', 'array'), ('minimum', 'number'), ('required', 'object'), ('pattern', 'string'), ('title', 'none'), ('minLength minimum', 'number,string'), ('minimum maxItems minItems', 'number,array')) AS t(keyword, kind)")
 def type_detection(spark, sf):
-    return literal(spark, [(k, detect({k: 1}) or "none") for k in ("minItems", "minimum", "required", "pattern", "title")], "keyword string, kind string")
+    return literal(spark, [(k, ",".join(detect(dict.fromkeys(k.split(), 1))) or "none") for k in ("minItems", "minimum", "required", "pattern", "title", "minLength minimum", "minimum maxItems minItems")], "keyword string, kind string")
+
+
+@query("detected_types_apply", "SELECT o_orderkey AS doc_id, '$' AS path FROM orders WHERE o_totalprice < 100000")
+def detected_types_apply(spark, sf):
+    """A schema of no type: its bound holds for numbers, its length for strings, and a value may be either."""
+    schema = load({"minimum": 100000, "minLength": 1})
+    prices = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS doc_id", "to_json(named_struct('v', o_totalprice)) AS json")
+    numbers = prices.selectExpr("doc_id", "substring(json, 6, length(json) - 6) AS json")
+    statuses = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("-o_orderkey AS doc_id", "concat('\"', o_orderstatus, '\"') AS json")
+    return find_anomalies(numbers.unionByName(statuses), schema).select("doc_id", "path").distinct()
 
 
 @query("merge_kinds", "SELECT * FROM (VALUES ('union', 'integer', 'number', 'number'), ('union', 'integer', 'string', 'product'), ('union', 'any', 'string', 'any'), ('union', 'zero', 'string', 'string'), ('intersect', 'integer', 'string', 'zero'), ('intersect', 'any', 'string', 'string'), ('intersect', 'zero', 'string', 'zero'), ('intersect', 'integer', 'number', 'number')) AS t(how, a, b, kind)")

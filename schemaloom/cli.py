@@ -8,14 +8,16 @@ import sys
 from dataclasses import replace
 from typing import IO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from schemaloom.model import LEVELS, Node, anomalies, worst
 from schemaloom.operators import passes
+from schemaloom.operators.relations import disjoint_key_sets
 from schemaloom.operators.split import split_discover
 from schemaloom.operators.validate import find_anomalies
 from schemaloom.params import PROPERTY_SETS, Params
 from schemaloom.plans.discover import discover_schema
+from schemaloom.plans.shred import shred
 from schemaloom.sources.documents import read_any
 from schemaloom.sources.schema_import import Unsupported, load
 from schemaloom.sources.sinks import dump, schema_json, value_csv, write_schema
@@ -105,7 +107,7 @@ def main(args: list[str] | None = None) -> int:
             print(f"incompatible: {path} {name}", file=sys.stderr)
     else:
         schema = discover_schema(docs, params)
-    schema = finish(schema, a, params, other)
+    schema = finish(schema, a, params, other, docs)
     if a.debug:
         dump(a.debug, transformed=schema)
     if a.write_values:
@@ -118,8 +120,9 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
-def finish(schema: Node, a: argparse.Namespace, params: Params, other: Node | None) -> Node:
-    return passes.apply(schema, params, dynamic_=a.detect_dynamic, disjoint=a.detect_disjoint, definitions=a.add_definitions, enum=a.detect_enums, other=other)
+def finish(schema: Node, a: argparse.Namespace, params: Params, other: Node | None, docs: DataFrame) -> Node:
+    groups = disjoint_key_sets(shred(docs).nodes) if a.detect_disjoint else None
+    return passes.apply(schema, params, dynamic_=a.detect_dynamic, disjoint=a.detect_disjoint, definitions=a.add_definitions, enum=a.detect_enums, other=other, key_groups=groups)
 
 
 if __name__ == "__main__":

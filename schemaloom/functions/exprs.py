@@ -12,12 +12,13 @@ from schemaloom.params import HISTOGRAM_ERROR, MAX_EXAMPLE_CHARS
 GAMMA = (1 + HISTOGRAM_ERROR) / (1 - HISTOGRAM_ERROR)
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-#: Formats in order of precedence; each is a pattern, found anywhere unless it is anchored.
+#: Formats in order of precedence; each is a pattern, found anywhere unless it is anchored. Published
+#: patterns are spelled as published: doi in the Citation File Format's schema, isbn in the Regular Expressions Cookbook.
 EXTENDED_FORMATS = (
-    ("geo-uri", r"^(?i:geo):-?[0-9]+(?:\.[0-9]+)?,-?[0-9]+(?:\.[0-9]+)?(?:,-?[0-9]+(?:\.[0-9]+)?)?(?:;.*)?$"),
-    ("doi", r"10\.[0-9]{4,9}(?:\.[0-9]+)?/[A-Za-z0-9._;()\[\]\\:/-]+"),
-    ("bibcode", r"[0-9]{4}[A-Za-z.&]{5}[A-Za-z0-9_.]{4}[AELPQ-Z.][0-9.]{4}[A-Z]"),
-    ("isbn", r"^(?:ISBN(?:-1[03])?:? )?(?:97[89][- ]?)?[0-9]{1,5}[- ]?[0-9]+[- ]?[0-9]+[- ]?[0-9X]$"),
+    ("geo-uri", r"(?i)^geo:(-?\d+(\.\d+)?),(-?\d+(\.\d+)?)(,(-?\d+(\.\d+)?))?(;(.*))?$"),
+    ("doi", r"10\.\d{4,9}(\.\d+)?/[A-Za-z0-9-\._;\(\)\[\]\\:/]+"),
+    ("bibcode", r"\d{4}[A-Za-z\.&]{5}[\w\.]{4}[AELPQ-Z\.][\d\.]{4}[A-Z]"),
+    ("isbn", r"^(?:ISBN(?:-1[03])?:? )?(?=[0-9X]{10}$|(?=(?:[0-9]+[- ]){3})[- 0-9X]{13}$|97[89][0-9]{10}$|(?=(?:[0-9]+[- ]){4})[- 0-9]{17}$)(?:97[89][- ]?)?[0-9]{1,5}[- ]?[0-9]+[- ]?[0-9]+[- ]?[0-9X]$"),
     ("plus-code", r"^(?:[23456789CFGHJMPQRVWX]{8}\+(?:[23456789CFGHJMPQRVWX]{2,7})?|[23456789CFGHJMPQRVWX]{2,6}0{2,6}\+|[23456789CFGHJMPQRVWX]{4,6}\+[23456789CFGHJMPQRVWX]{2,3})$"),
 )
 _DATE = r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"

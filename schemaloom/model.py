@@ -106,8 +106,22 @@ def plain(v):
     return v
 
 
+def _whole(a, b) -> tuple[int, int, int]:
+    """|a| and |b| as whole numbers of a common power of ten, and its exponent; exact, whatever their sizes."""
+    a, b = abs(Decimal(str(a))), abs(Decimal(str(b)))
+    e = min(a.as_tuple().exponent, b.as_tuple().exponent)
+    whole = lambda x: int("".join(map(str, x.as_tuple().digits))) * 10 ** (x.as_tuple().exponent - e)
+    return whole(a), whole(b), e
+
+
+def _decimal(n: int, e: int) -> Decimal:
+    while n and n % 10 == 0:
+        n, e = n // 10, e + 1
+    return Decimal(f"{n}e{e}" if n else 0)
+
+
 def divides(m, v) -> bool:
-    a, b = Decimal(str(m)), Decimal(str(v))
+    a, b, _ = _whole(m, v)
     return a != 0 and b % a == 0
 
 
@@ -262,15 +276,13 @@ FACTS: dict[str, Fact] = {
 
 
 def decimal_gcd(a, b) -> Decimal:
-    a, b = abs(Decimal(str(a))), abs(Decimal(str(b)))
-    while b:
-        a, b = b, a % b
-    return a.normalize()
+    a, b, e = _whole(a, b)
+    return _decimal(math.gcd(a, b), e)
 
 
 def decimal_lcm(a, b) -> Decimal:
-    a, b = Decimal(str(a)), Decimal(str(b))
-    return (abs(a * b) / decimal_gcd(a, b)).normalize() if a and b else Decimal(0)
+    a, b, e = _whole(a, b)
+    return _decimal(math.lcm(a, b), e)
 
 
 #: Facts of which a missing one means "anything": uniting with a schema that lacks it drops it.

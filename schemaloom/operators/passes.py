@@ -23,18 +23,13 @@ def dynamic_objects(n: Node, least_entropy: float = 1.0) -> Node:
     return transform(n, change)
 
 
-def disjoint_objects(n: Node, pairs: dict[str, list[set[str]]] | None = None) -> Node:
-    """Objects whose keys fall into groups that never meet become alternatives.
-
-    ``pairs``: by path, the groups of relations.disjoint_key_sets; else they are read off the dependencies.
-    """
+def disjoint_objects(n: Node, groups_of: dict[str, list[set[str]]]) -> Node:
+    """Objects whose keys fall into groups that never meet become alternatives; groups_of is relations.disjoint_key_sets."""
 
     def change(path: str, x: Node) -> Node:
         if x.kind != "object" or len(x.keys) < 2:
             return x
-        groups = (pairs or {}).get(path)
-        if groups is None:
-            groups = connected([frozenset([k]) for k in x.keys] + [frozenset({k, *v}) for k, v in x.get("dependencies", {}).items()] + [frozenset(x.get("required", ()))] * bool(x.get("required")))
+        groups = groups_of.get(path, ())
         if len(groups) < 2:
             return x
         return Node("product", parts=[only_keys(x, g) for g in groups], counts=[1] * len(groups))
@@ -132,6 +127,8 @@ def reset_format_lengths(n: Node) -> Node:
 def apply(n: Node, params: Params, *, dynamic_: bool = False, disjoint: bool = False, definitions: bool = False, enum: bool = False, other: Node | None = None, key_groups: dict[str, list[set[str]]] | None = None) -> Node:
     if (dynamic_ or disjoint or definitions) and not params.has("object", "presence"):
         raise ValueError("these passes need the property set All")
+    if disjoint and key_groups is None:
+        raise ValueError("which keys meet isn't part of a schema: give the groups of relations.disjoint_key_sets")
     for wanted, step in ((dynamic_, dynamic_objects), (disjoint, lambda x: disjoint_objects(x, key_groups)), (definitions, shared_definitions), (enum, lambda x: enums(x, other)), (params.reset_format_length, reset_format_lengths)):
         n = step(n) if wanted else n
     return n

@@ -6,8 +6,9 @@ signatures), which are few, decide about groups; objects are joined to their gro
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,11 +73,31 @@ def groups(nodes: DataFrame, relation: str) -> DataFrame:
     return own.join(table, ["path", "signature"]).select("path", "node_id", "group")
 
 
-def disjoint_key_sets(pairs: DataFrame, keys: DataFrame) -> dict[str, list[set[str]]]:
-    """For each path the groups of keys that never occur together across groups, of key_pairs and key_presence."""
+def disjoint_key_sets(nodes: DataFrame) -> dict[str, list[set[str]]]:
+    """For each path of an object the groups of its keys that never occur together across groups.
+
+    Keys of an object are linked to its least one; each task reduces its links to a forest, so that the driver gets at
+    most (keys x tasks) of them.
+    """
+    own = nodes.where(F.col("key").isNotNull()).groupBy(F.col("parent").alias("path"), "parent_id").agg(F.min("key").alias("least"), F.collect_set("key").alias("keys"))
+    links = own.select("path", "least", F.explode("keys").alias("key")).distinct()
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[tuple[str, str], str] = {}
+
+        def find(path: str, key: str) -> str:
+            while (up := root.setdefault((path, key), key)) != key:
+                key = up
+            return key
+
+        for batch in batches:
+            for path, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = find(path, a), find(path, b)
+                root[path, max(a, b)] = min(a, b)
+        rows = [(path, find(path, key), key) for path, key in root]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["path", "least", "key"])
+
     sets: dict[str, list[frozenset[str]]] = {}
-    for r in keys.select("path", "key").distinct().collect():
-        sets.setdefault(r.path, []).append(frozenset([r.key]))
-    for r in pairs.select("path", "a", "b").collect():
-        sets.setdefault(r.path, []).append(frozenset([r.a, r.b]))
+    for r in links.mapInArrow(forest, "path string, least string, key string").collect():
+        sets.setdefault(r.path, []).append(frozenset([r.least, r.key]))
     return {p: connected(s) for p, s in sets.items()}

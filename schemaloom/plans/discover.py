@@ -75,13 +75,13 @@ def discover(docs: DataFrame, params: Params = Params()) -> Discovery:
     return Discovery(found, nodes, property_table(nodes, params), params)
 
 
-def grouped_nodes(nodes: DataFrame, relation: str, max_depth: int = 64) -> DataFrame:
+def grouped_nodes(nodes: DataFrame, relation: str) -> DataFrame:
     """Nodes whose path says to which group each object on the way belongs, from the root down."""
     own = relations.groups(nodes, relation).select(F.col("node_id").alias("_id"), F.when(F.col("group") > 0, F.concat(F.lit("<"), "group", F.lit(">"))).otherwise("").alias("mark"))
     marked = nodes.join(own, F.col("node_id") == F.col("_id"), "left").drop("_id")
     depths = [r.depth for r in nodes.select("depth").distinct().orderBy("depth").collect()]
     out = level = None
-    for depth in depths[:max_depth]:
+    for depth in depths:
         here = marked.where(F.col("depth") == depth)
         if level is not None:
             up = level.select(F.col("node_id").alias("_up"), F.col("path").alias("up_path"), F.col("plain").alias("up_plain"))

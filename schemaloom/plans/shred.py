@@ -106,8 +106,11 @@ def shred(docs: DataFrame, params: Params = Params()) -> Shredded:
         tuples = [r.path for r in summary if r.type == "array" and r.low == r.high and 0 < r.high <= params.max_tuple]
         found.tuples.update(tuples)
         found.kinds.update({(r.path, r.type): (r["count"], r.low, r.high) for r in summary})
-        if not any(r.type in ("object", "array") and r.high for r in summary) or len(found.levels) > params.max_depth:
+        if not any(r.type in ("object", "array") and r.high for r in summary):
             break
+        if len(found.levels) > params.max_depth:
+            found.release()
+            raise ValueError(f"documents are nested deeper than max_depth = {params.max_depth}; raise it, or use shred_strict")
         inner = typed.where(F.col("type").isin("object", "array") & (F.col("n") > 0)).select("doc_id", "node_id", "path", "depth", "type", "v")
         kids = inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "item"))
         step = F.when(F.col("type") == "object", F.concat(F.lit("."), "k"))

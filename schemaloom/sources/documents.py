@@ -14,7 +14,7 @@ COLUMNS = "doc_id long, json string"
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
-    """(doc_id, json): documents named by a hash of place and order within their partition."""
+    """(doc_id, json): documents named by their partition and their order in it; another split of the files names them anew."""
     return df.select(F.monotonically_increasing_id().alias("doc_id"), F.col(column).alias("json"))
 
 

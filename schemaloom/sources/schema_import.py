@@ -45,11 +45,10 @@ def load(doc: Any) -> Node:
     return out
 
 
-def detect(doc: dict) -> str | None:
-    """The type whose keywords a schema without a type has most of."""
+def detect(doc: dict) -> list[str]:
+    """Every type whose keywords a schema without a type has; those with fewer of them first."""
     scores = {k: len(words & doc.keys()) for k, words in TELLING.items()}
-    best = max(scores, key=lambda k: scores[k])
-    return best if scores[best] else None
+    return sorted((k for k in scores if scores[k]), key=lambda k: scores[k])
 
 
 def _load(doc: dict) -> Node:
@@ -62,7 +61,7 @@ def _load(doc: dict) -> Node:
         return Node("enum", {"enum": {v if not isinstance(v, (list, dict)) else repr(v) for v in values}})
     products = [k for k in ("allOf", "oneOf", "anyOf") if k in doc]
     kinds = doc.get("type", detect(doc))
-    kinds = [] if kinds is None else [kinds] if isinstance(kinds, str) else list(kinds)
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
     for k in kinds:
         if k not in KINDS:
             raise Unsupported(f"type {k}")

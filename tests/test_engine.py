@@ -72,7 +72,7 @@ def test_too_many_keys_become_a_map(spark):
 def test_objects_and_dependencies(spark):
     n = shred(from_values(spark, [{"foo": 1, "bar": 2}, {"baz": 3}, {"foo": 4}])).nodes
     assert {(r.key, r.needs) for r in M.dependencies(n).collect()} == {("bar", "foo")}
-    groups = relations.disjoint_key_sets(M.key_pairs(n), M.key_presence(n))
+    groups = relations.disjoint_key_sets(n)
     assert groups["$"] == [{"bar", "foo"}, {"baz"}]
     wide = shred(from_values(spark, [{f"k{i}": 1 for i in range(51)}])).nodes
     assert M.key_pairs(wide).count() == 0
@@ -152,3 +152,20 @@ def test_command_line(spark, tmp_path):
     assert cli.main([str(tmp_path / "in.json"), "--prop", "Simple", "--write-output", str(tmp_path / "s.json"), "--write-values", str(tmp_path / "v.csv")]) == 0
     doc = json.loads((tmp_path / "s.json").read_text())
     assert load({k: v for k, v in doc.items() if k in ("type", "required")}).kind == "object" and (tmp_path / "v.csv").read_text().startswith("$.a,")
+
+
+def test_deep_documents_are_refused_not_cut(spark):
+    docs = from_strings(spark, ["[" * 9 + "1" + "]" * 9])
+    assert shred(docs).nodes.where("type = 'integer'").count() == 1
+    with pytest.raises(ValueError, match="max_depth"):
+        shred(docs, Params(max_depth=4))
+
+
+def test_disjoint_pass_of_the_command_line_accepts_its_documents(spark, tmp_path):
+    lines = ['{"a": 1, "b": 2}', '{"a": 1}', '{"b": 2}'] * 5 + ['{"c": 1}'] * 3
+    path = tmp_path / "docs.ndjson"
+    path.write_text("\n".join(lines))
+    assert cli.main([str(path), "--detect-disjoint", "--write-output", str(tmp_path / "schema.json"), "--compact"]) == 0
+    schema = load(json.loads((tmp_path / "schema.json").read_text()))
+    assert all(not list(model.anomalies(schema, json.loads(x))) for x in lines)
+    assert list(model.anomalies(schema, {"a": 1, "c": 1}))

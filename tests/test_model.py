@@ -49,6 +49,14 @@ def test_expansion_covers(a, b):
     assert m.covers(m.expand(x, y), y)
 
 
+def test_decimal_divisors_are_exact():
+    assert m.decimal_gcd(8000000491520.0, "8E-16") == m.Decimal("8E-16")
+    assert m.decimal_gcd("0.3", "0.45") == m.Decimal("0.15") and m.decimal_lcm("0.3", "0.45") == m.Decimal("0.9")
+    assert m.divides("1e-300", 1e300) and not m.divides(0, 1) and not m.divides("0.2", "0.3")
+    whole = m.of_value([1, 0.99, 8000000491520.0])
+    assert m.covers(m.expand(m.of_value([]), whole), whole)
+
+
 def test_bound_steps():
     assert widen(101, 117) == (120, False) and widen(123, 124) == (127, False) and widen(-123, 124) == (None, False)
     assert widen(1196296863810379800, 1196296863810379801) == (1200000000000000000, False)
@@ -64,7 +72,7 @@ def test_formats(text, name):
     assert format_name(text) == name
 
 
-@pytest.mark.parametrize(("text", "name"), [("10.1234/abc", "doi"), ("geo:1.5,2", "geo-uri"), ("849VCWC8+R9", "plus-code"), ("9780306406157", "isbn")])
+@pytest.mark.parametrize(("text", "name"), [("10.1234/abc", "doi"), ("geo:1.5,2", "geo-uri"), ("849VCWC8+R9", "plus-code"), ("9780306406157", "isbn"), ("1-56619-909-3", "isbn"), ("ISBN-13: 978-0-306-40615-7", "isbn"), ("1000", "none"), ("12345", "none"), ("1991ASSL..171...89H", "bibcode")])
 def test_extended_formats(text, name):
     assert format_name(text, True) == name
 
@@ -73,7 +81,7 @@ def test_import_refuses_and_reads():
     for bad in ({"if": {}}, {"type": "array", "contains": {}}, {"type": "object", "dependentSchemas": {}}, {"type": "object", "additionalProperties": {"type": "null"}}, {"type": "date"}):
         with pytest.raises(Unsupported):
             load(bad)
-    assert load(True).kind == "any" and load(False).kind == "zero" and detect({"minItems": 1}) == "array"
+    assert load(True).kind == "any" and load(False).kind == "zero" and detect({"minItems": 1}) == ["array"] and detect({"minLength": 1, "minimum": 2, "maximum": 3}) == ["string", "number"]
     n = load({"type": ["integer", "null"]})
     assert n.kind == "product" and not m.anomalies(n, 3) and not m.anomalies(n, None) and m.anomalies(n, "x")
     assert [bool(m.anomalies(load({"oneOf": [{"type": "integer"}, {"type": "integer", "minimum": 5}]}), v)) for v in (1, 9)] == [False, True]
