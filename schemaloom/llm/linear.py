@@ -3,8 +3,14 @@
 Tokens are runs of word characters and runs of other visible characters, A-Z in lower case. A text's features are its
 hashed unigrams and bigrams, and back references: a unigram or bigram that says "the same token as one (two) before".
 With ``prefixes``, they are words and word beginnings instead, for languages that inflect or join words.
-Training takes a bounded sample of labelled rows in one task and returns one dense weight vector (4 bytes x 2^bits);
-scoring is a sparse dot product per text, without a shuffle.
+Training takes a sample of labelled rows, bounded in rows and in features, in one task and returns one dense weight vector
+(4 bytes x 2^bits); scoring is a sparse dot product per text, without a shuffle.
+
+Defined cases, of both classifiers: null and empty texts have no features and score what the bias alone says; without labels
+every score is 0.5; a text of any length is scored whole, and in training a text that would exceed the bound of features
+is left out of the sample, not cut; repeated rows score alike, and in training an id counts once, with its least text and its
+largest label; ties in the order of the sample go by id; labels that are null or of ids that no document has are ignored; of
+columns with clashing names those of the documents stay, but for the score's own.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ class Settings:
     l1: float = 0.05
     l2: float = 0.5
     epochs: int = 3
-    max_train: int = 12_000  #: bound of the labelled sample
+    max_train: int = 12_000  #: bound of the labelled sample, in rows
+    max_features: int = 24_000_000  #: and in features of all its texts, 8 bytes each
     swap_penalty: float = 0.0
     prefixes: tuple[int, ...] = ()  #: lengths in bytes of word beginnings
     min_docs: int = 1  #: features of fewer training texts are left out
@@ -110,56 +117,64 @@ class Ftrl:
         self.z0 += error - (math.sqrt(after) - math.sqrt(self.n0)) / self.s.alpha * b
         self.n0 = after
 
-    def agree(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
-        """One step against the squared difference of the scores of a and b, a text and its counterfactual."""
-        index = np.union1d(a[0], b[0])
-        x = np.zeros(len(index))
-        x[np.searchsorted(index, a[0])] += a[1]
-        x[np.searchsorted(index, b[0])] -= b[1]
-        moved = np.flatnonzero(x)
-        index, x = index[moved], x[moved]
+    def agree(self, index: np.ndarray, x: np.ndarray) -> None:
+        """One step against the squared difference of the scores of a text and its counterfactual; x: how their features differ."""
         w = self.weights(index)
         self.step(index, 2 * self.s.swap_penalty * (w @ x) * x, w)
 
 
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features in which a and b differ, and by how much."""
+    index = np.union1d(a[0], b[0])
+    x = np.zeros(len(index))
+    x[np.searchsorted(index, a[0])] += a[1]
+    x[np.searchsorted(index, b[0])] -= b[1]
+    moved = np.flatnonzero(x)
+    return index[moved], x[moved]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled documents that aren't held out: those of the least hashed ids.
 
-    Of several labels of an id the largest counts. The chosen labels, at most ``limit`` narrow rows, are broadcast.
+    Of several labels of an id the largest counts, of several texts the least. The chosen labels, at most ``limit`` narrow rows, are broadcast.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (bucket_of(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
 
 
 def train(sample: DataFrame, s: Settings, swap: Callable[[list[bytes], int], list[bytes] | None] | None = None) -> Model:
-    """Train in one task on a bounded sample (doc_id, text, y). Rows beyond twice the bound (repeated ids) are an error."""
+    """Train in one task on a bounded sample (doc_id, text, y), one row per id. swap makes a text's counterfactual."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, total = [], 0
+        seen = np.zeros(1 << s.bits, np.int64)
+        small = lambda f: (f[0].astype(np.int32), f[1].astype(np.float32))
         for batch in batches:
             for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = tokens(text)
                 own = features(words, s)
-                other = swap(words, len(rows)) if swap else None
-                rows.append((own, y, features(other, s) if other else None))
-                if len(rows) > 2 * s.max_train:
-                    raise ValueError("more labelled rows than the documented bound")
+                if total + len(own[0]) > s.max_features:
+                    continue
+                total += len(own[0])
+                seen[own[0]] += 1
+                moved = None
+                if swap and (other := swap(words, len(rows))):
+                    moved = difference(own, features(other, s))
+                    seen[moved[0][moved[1] < 0]] += 1  # what the counterfactual has and the text has not
+                rows.append((small(own), y, small(moved) if moved else None))
         if s.min_docs > 1:
-            seen = np.zeros(1 << s.bits, np.int64)
-            for (index, _), _, _ in rows:
-                seen[index] += 1
             often = seen >= s.min_docs
             cut = lambda f: (f[0][often[f[0]]], f[1][often[f[0]]])
-            rows = [(cut(own), y, other and cut(other)) for own, y, other in rows]
+            rows = [(cut(own), y, moved and cut(moved)) for own, y, moved in rows]
         ftrl = Ftrl(s)
         for _ in range(s.epochs):
-            for own, y, other in rows:
+            for own, y, moved in rows:
                 ftrl.learn(*own, y)
-                if other:
-                    ftrl.agree(own, other)
+                if moved:
+                    ftrl.agree(*moved)
         w = ftrl.weights().astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(w.tobytes())], pa.binary()), pa.array([ftrl.bias()]), pa.array([len(rows)], pa.int64())], names=["w", "b", "n"])
 

@@ -1,7 +1,6 @@
 """Document quality: hashed word n-gram logistic regression with FTRL updates (see linear.py).
 
-Defined cases: null and empty texts score what the bias alone says; without labels every score is 0.5; repeated rows score
-alike; labels of ids that no document has are ignored, and so are null labels; a column named score is replaced.
+Defined cases: those of linear.py; a column named score is replaced.
 """
 
 from __future__ import annotations

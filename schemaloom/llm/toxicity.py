@@ -1,10 +1,11 @@
 """Toxicity: n-gram logistic regression with counterfactual regularisation.
 
 Each training text gets a counterfactual: its identity terms swapped for others of their group or, if it has none, one
-term put in at a fixed place (for every fourth text). Training penalises the squared change of the score between the two,
-so that neither the mention of a group nor which group it is moves the score, and neutral mentions aren't flagged.
+term put in at a fixed place. Training penalises the squared change of the score between the two, so that neither the mention
+of a group nor which group it is moves the score, and neutral mentions aren't flagged. Features of counterfactuals count for
+the least number of texts that a feature needs, so a term that few texts hold is held to the penalty as well.
 
-Defined cases: as in quality.py.
+Defined cases: those of linear.py; a text without words has no counterfactual; a column named score is replaced.
 """
 
 from __future__ import annotations
@@ -46,13 +47,13 @@ TERMS = sorted(SWAPS)
 
 
 def counterfactual(words: list[bytes], number: int) -> list[bytes] | None:
-    """The text with other identity terms, or with one put in; None for three of four texts that have none."""
+    """The text with other identity terms, or with one put in; None for a text without words."""
     if any(w in SWAPS for w in words):
         return [SWAPS.get(w, w) for w in words]
-    if number % 4 or not words:
+    if not words:
         return None
     at = number % (len(words) + 1)
-    return [*words[:at], TERMS[number // 4 % len(TERMS)], *words[at:]]
+    return [*words[:at], TERMS[number % len(TERMS)], *words[at:]]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
