@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
 
-from helpers import awkward, documents
+from helpers import awkward, documents, prose
 
 from schemaloom.llm.pii import digests, em, learn, candidates, personal_data
 
@@ -53,5 +54,28 @@ def test_votes_add_spans_and_em_ranks_labelers(spark):
     assert all(r.n_phone == 1 and r.spans.count("phone") == 2 for r in got)
     prior, rates = em({(1, 1, 1, 1): 60, (0, 0, 2, 0): 30, (1, 1, 2, 1): 10})
     assert 0.5 < prior < 0.9 and rates[0][0][1] > rates[0][1][1]
-    assert set(learn(candidates(documents(spark, []))).prior) == {"email", "ip", "card", "phone"}
+    assert set(learn(candidates(documents(spark, []))).prior) == {"email", "ip", "card", "phone", "secret"}
     assert personal_data(documents(spark, [])).count() == 0
+
+
+def test_added_spans_stand_apart_and_votes_decide_them(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
+    rows = [(i, f'so token = "{h}" and {prose(rng, 8)}', "en", "s", 1) for i, h in enumerate(hexes)]
+    rows += [(100 + i, f"see https://x.example/a_long_path_of_words_{i}/and-more-of-the-same and commit {h}", "en", "s", 1) for i, h in enumerate(hexes)]
+    rows += [(200 + i, f"card 4111 1111 1111 111{i % 10} or 4000 0000 0000 0000 order 1234 5678 9012 3456", "en", "s", 1) for i in range(30)]
+    got = {r.doc_id: r for r in digests(personal_data(documents(spark, rows))).collect()}
+    for r in got.values():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert len(spans) == r.n_spans and len({tuple(s) for s in spans}) == len(spans)
+        for kind, a, b in spans:
+            assert not any(k == kind and int(x) < int(b) and int(a) < int(y) for k, x, y in spans if (k, x, y) != (kind, a, b))
+    assert all(got[i].spans == f"secret:{rows[i][1].index(hexes[i])}:{rows[i][1].index(hexes[i]) + 40}" for i in range(40))
+    assert not any("secret" in got[100 + i].spans for i in range(40))
+
+
+def test_positions_in_texts_of_many_matches(spark):
+    text = " ".join(f"a{i}@b.cc 1.2.3.{i % 300} +4930{i:06d} é" for i in range(3000))
+    own = brute(text)
+    got = digests(personal_data(documents(spark, [(1, text, "en", "s", 1)]).selectExpr("*", "1 AS spans", "2 AS kind", "3 AS sums"))).collect()[0]
+    assert len(own) > 7000 and got.base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
