@@ -2,12 +2,15 @@
 
 Each text is measured once. The measures, as whole numbers per thousand, go into sketches per language and source: counts
 by value, of which only the 7 leading bits are kept (so a quantile is off by under 1 in 64). Such sketches merge by
-adding counts: a group of too few documents is judged by its language's, or else by the whole corpus's. A measure's cutoff
-is a robust fence, some spreads (upper quartile less median) above the median, plus a slack that no group falls below.
-Documents are joined to their group's cutoffs; those that fail a base rule or pass a cutoff go.
+adding counts, to those of languages and of the whole corpus. A measure's cutoff is a fence: some spreads (the 90th
+percentile less the median) above the median, plus a slack, as a short text has few lines and words to be measured by.
+A group's cutoff is drawn towards its language's, and that towards the corpus's, as if ``prior`` documents of the larger group
+were in the smaller one; so there is no least size of a group. Documents are joined to their group's cutoffs; those that
+fail a base rule or pass a cutoff go.
 
 Defined cases: a null text has no words and fails the base rule; null languages and sources are groups of their own;
-repeated rows count and are returned as often as they occur; extra columns are ignored.
+texts of any length are measured whole; a text at a cutoff (a tie) stays; repeated rows count and are returned as often as
+they occur; an empty table gives an empty one; null ids are kept; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from schemaloom.llm.common import BLANK_CLASS, broadcast_if_small, materialise,
 
 WINDOW = 8
 #: measure: (spreads above the median, slack per thousand)
-FENCES = {"symbols": (8, 100), "dup_lines": (8, 500), "repeats": (8, 200), "word_length": (8, 4000)}
-MIN_GROUP = 200
+FENCES = {"symbols": (8, 50), "dup_lines": (8, 350), "repeats": (8, 150), "word_length": (4, 300)}
+HIGH = 90
+PRIOR = 25
 
 
 def _tail(a: Column, start: int) -> Column:
@@ -84,24 +88,22 @@ def cutoffs(sketch: DataFrame, groups: list[str]) -> DataFrame:
         step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["q"].isNull() & ((acc["seen"] + x["n"]) * 100 >= F.col("total") * hundredths), x["v"]).otherwise(acc["q"]).alias("q"))
         return F.aggregate("r", start, step, lambda acc: acc["q"])
 
-    q = runs.select(*groups, "measure", "total", quantile(50).alias("mid"), quantile(75).alias("high"))
+    q = runs.select(*groups, "measure", "total", quantile(50).alias("mid"), quantile(HIGH).alias("high"))
     fence = F.coalesce(*(F.when(F.col("measure") == k, F.col("mid") + spreads * (F.col("high") - F.col("mid")) + slack) for k, (spreads, slack) in FENCES.items()))
     return q.groupBy(*groups).agg(F.max("total").alias("size"), *(F.max(F.when(F.col("measure") == k, fence)).alias(f"max_{k}") for k in FENCES))
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, max_broadcast: int = 100_000) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR, max_broadcast: int = 100_000) -> DataFrame:
     """The measures of each row with base_failed and kept."""
     m = permille(materialise(measured(docs), "measures"))
     sketch = materialise(sketches(m), "sketches")
     names = [f"max_{k}" for k in FENCES]
     fine, coarse, all_ = cutoffs(sketch, ["lang", "source"]), cutoffs(sketch, ["lang"]), cutoffs(sketch, [])
-    enough = F.col("size") >= min_group
-    fine = fine.where(enough).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.col(n).alias(f"f_{n}") for n in names))
-    coarse = coarse.where(enough).select(F.col("lang").alias("_lang"), *(F.col(n).alias(f"c_{n}") for n in names))
     whole = all_.first()  # one row, or none of an empty table
-    groups = sketch.select("lang", "source").distinct()
-    groups = groups.join(fine, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(coarse, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    groups = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.coalesce(f"f_{n}", f"c_{n}", F.lit(whole[n] if whole else None).cast("long")).alias(n) for n in names))
+    drawn = lambda own, to: F.call_function("div", F.col("size") * own + F.lit(prior) * to, F.col("size") + F.lit(prior))
+    coarse = coarse.select(F.col("lang").alias("_lang"), *(drawn(F.col(n), F.lit(whole[n] if whole else 0).cast("long")).alias(f"c_{n}") for n in names))
+    groups = fine.join(broadcast_if_small(materialise(coarse, "languages"), max_broadcast), F.col("lang").eqNullSafe(F.col("_lang")))
+    groups = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(drawn(F.col(n), F.col(f"c_{n}")).alias(n) for n in names))
     groups = broadcast_if_small(materialise(groups, "cutoffs"), max_broadcast)
     judged = m.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -111,7 +113,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, max_broadcast: int = 100_
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
 
 
-def oracle_sql(min_group: int = MIN_GROUP) -> str:
+def oracle_sql(prior: int = PRIOR) -> str:
     blank = r"[^\x20\x09-\x0D]+"
     trimmed_ = "trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
     drop = "greatest(length(bin(v)) - 7, 0)"
@@ -121,7 +123,7 @@ def oracle_sql(min_group: int = MIN_GROUP) -> str:
         part = "PARTITION BY " + ", ".join([*groups, "measure"])
         fences = " ".join(f"WHEN '{k}' THEN mid + {a} * (high - mid) + {b}" for k, (a, b) in FENCES.items())
         return f"""{name}_runs AS (SELECT {g}measure, v, sum(sum(n)) OVER ({part} ORDER BY v) AS seen, sum(sum(n)) OVER ({part}) AS total FROM sketch GROUP BY {g}measure, v),
-{name}_q AS (SELECT {g}measure, any_value(total) AS total, min(CASE WHEN seen * 100 >= total * 50 THEN v END) AS mid, min(CASE WHEN seen * 100 >= total * 75 THEN v END) AS high FROM {name}_runs GROUP BY {g}measure),
+{name}_q AS (SELECT {g}measure, any_value(total) AS total, min(CASE WHEN seen * 100 >= total * 50 THEN v END) AS mid, min(CASE WHEN seen * 100 >= total * {HIGH} THEN v END) AS high FROM {name}_runs GROUP BY {g}measure),
 {name} AS (SELECT {g}max(total) AS size, {', '.join(f"max(CASE WHEN measure = '{k}' THEN (CASE measure {fences} END) END) AS max_{k}" for k in FENCES)} FROM {name}_q {'GROUP BY ' + ', '.join(groups) if groups else ''})"""
 
     names = [f"max_{k}" for k in FENCES]
@@ -141,9 +143,9 @@ sketch AS (SELECT lang, source, measure, (v >> {drop}) << {drop} AS v, count(*)
 {cut(['lang', 'source'], 'fine')},
 {cut(['lang'], 'coarse')},
 {cut([], 'whole')},
-judged AS (SELECT m.*, {', '.join(f'coalesce(f.{n}, c.{n}, a.{n}) AS {n}' for n in names)} FROM m
-  LEFT JOIN fine f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source AND f.size >= {min_group}
-  LEFT JOIN coarse c ON m.lang IS NOT DISTINCT FROM c.lang AND c.size >= {min_group} CROSS JOIN whole a)
+languages AS (SELECT c.lang, {', '.join(f'((c.size * c.{n} + {prior} * a.{n}) // (c.size + {prior}))::BIGINT AS {n}' for n in names)} FROM coarse c CROSS JOIN whole a),
+drawn AS (SELECT f.lang, f.source, {', '.join(f'((f.size * f.{n} + {prior} * c.{n}) // (f.size + {prior}))::BIGINT AS {n}' for n in names)} FROM fine f JOIN languages c ON c.lang IS NOT DISTINCT FROM f.lang),
+judged AS (SELECT m.*, {', '.join(f'd.{n}' for n in names)} FROM m JOIN drawn d ON m.lang IS NOT DISTINCT FROM d.lang AND m.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {' AND '.join(f'{k} <= max_{k}' for k in FENCES)} AS kept FROM judged
 """
