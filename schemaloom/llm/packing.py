@@ -7,13 +7,20 @@ goes to the sequence that, under every constraint, leaves the smallest weighted
 ``score="dot"``, has the largest weighted dot product of residual and demand). Pieces of badly filled sequences are then
 packed once more together, so that shards leave no open ends.
 
-Defined cases: a null or empty text is a document of the end id alone; repeated rows are packed as often as they occur;
-a null id is kept; no input row is ever dropped, and extra columns are ignored.
+Which capacities bind: tokens always, documents where texts are tiny (``max_docs`` bounds the segments that a training step
+must mask). Attention cost can't bind while pieces may be as long as a sequence, for a sum of squares is at most the
+square of the sum; it binds with a lower ``max_attention``, for pieces cut shorter, and else takes part in the score only.
+
+Defined cases: a null or empty text is a document of the end id alone; a text of any length is cut into full pieces and a
+rest; repeated rows are packed as often as they occur; ties in length go by id and piece; an empty table gives an empty one;
+a null id is kept; no input row is ever dropped, and extra columns are ignored, whatever their names. Strings of special
+tokens in a text become these tokens, as the tokenizer itself has it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import string
 import struct
 import unicodedata
@@ -55,7 +62,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = Tokenizer.from_str(tokenizer_json)  # for whole texts that hold a special token
+        special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
+        self.tokenizer.encode_special_tokens = True  # parts are in lower case, so what looks like one here is none
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.cache: dict[bytes, bytes] = {}
@@ -96,14 +106,18 @@ class WordEncoder:
             cache[p] = cache[stem] + cache[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        whole = {k: t for k, t in enumerate(texts) if t and self.special.search(t)}
+        parts = [b"" if k in whole else (t or "").encode("utf-8", "replace").lower().split() for k, t in enumerate(texts)]
         if len(self.cache) > self.limit:
             self.cache.clear()
         missing = set().union(*parts).difference(self.cache)
         if missing:
             self._learn(missing)
         get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out = [b"".join(map(get, p)) for p in parts]
+        for k, t in whole.items():
+            out[k] = np.array(self.plain.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +149,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 409
     return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_attention: float, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_attention: float, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each piece; the pieces come longest first."""
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -171,12 +185,12 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_attention:
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm", shard_pieces: int = 8192, full: float = 0.97) -> DataFrame:
+def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int = 256, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), score: str = "norm", shard_pieces: int = 8192, full: float = 0.97) -> DataFrame:
     """Adds sequence_id and offset to pieces (of at most max_tokens each). ``pieces`` should be a written table.
 
-    max_docs and max_attention default to what max_tokens implies, so that tokens alone bind.
+    max_docs binds where pieces have under max_tokens / max_docs tokens on average; max_attention defaults to the cost of one
+    full piece.
     """
-    max_docs = max_docs or max_tokens
     max_attention = max_attention or float(max_tokens) ** 2
     columns = pieces.columns
 
@@ -196,7 +210,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int | None
             yield from got.to_batches()
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, used long"
-        return materialise(df.select(*columns).repartition(shards, F.xxhash64("doc_id", "piece")).mapInArrow(run, schema), f"packed{round_no}")
+        return materialise(df.select(*columns).repartition(shards, F.xxhash64("doc_id", "piece", "length", "ids_crc32")).mapInArrow(run, schema), f"packed{round_no}")
 
     first = dealt(pieces, 0)
     rest = first.where(F.col("used") < int(full * max_tokens))

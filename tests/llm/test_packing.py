@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +14,6 @@ path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 def ids_of(text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -61,3 +62,46 @@ def test_empty_table_and_sequences(spark):
     pieces = encode_documents(documents(spark, [(1, "a b c", "en", "s", 5), (2, None, None, None, None)]), path, with_ids=True)
     (row,) = sequences(pack_pieces(pieces)).collect()
     assert sorted(row.ids) == sorted(ids_of("a b c") + [1])
+
+
+def plain_best_fit(lengths, max_tokens, max_docs, max_attention, weights, score):
+    """Bins as lists; every open bin is tried for every piece."""
+    bins, out = [], []
+    for size in lengths:
+        best = None
+        for k, own in enumerate(bins):
+            left = (max_tokens - sum(own), max_docs - len(own), max_attention - sum(x * x for x in own))
+            if left[0] < size or left[1] < 1 or left[2] < size * size:
+                continue
+            full, need = (max_tokens, max_docs, max_attention), (size, 1, size * size)
+            if score == "dot":
+                value = -sum(w * (a / f) * (b / f) for w, a, b, f in zip(weights, left, need, full))
+            else:
+                value = sum(w * ((a - b) / f) ** 2 for w, a, b, f in zip(weights, left, need, full))
+            if best is None or value < best[0] - 1e-12:
+                best = (value, k)
+        if best is None:
+            bins.append([])
+            best = (0, len(bins) - 1)
+        out.append((best[1], sum(bins[best[1]])))
+        bins[best[1]].append(size)
+    return out
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize(("max_docs", "max_attention"), [(99, 10_000.0), (3, 10_000.0), (99, 3_000.0), (4, 4_000.0)])
+def test_vector_best_fit_equals_plain_loops_under_each_constraint(score, max_docs, max_attention):
+    rng = random.Random(max_docs)
+    lengths = sorted((rng.randint(1, 50) for _ in range(200)), reverse=True)
+    bins, offsets = best_fit(np.array(lengths), 100, max_docs, max_attention, (1.0, 0.1, 0.1), score)
+    assert list(zip(bins.tolist(), offsets.tolist())) == plain_best_fit(lengths, 100, max_docs, max_attention, (1.0, 0.1, 0.1), score)
+
+
+def test_documents_bind_where_texts_are_tiny_and_names_may_clash(spark):
+    rows = [(i if i % 2 else None, "a b", "en", "s", 1) for i in range(1200)]
+    df = documents(spark, rows).selectExpr("*", "1 AS piece", "2 AS length", "'x' AS used", "3 AS sequence_id")
+    got = pack_documents(df, path).collect()
+    assert len(got) == 1200
+    per = Counter(r.sequence_id for r in got)
+    assert max(per.values()) == 256 and len(per) == 5
+    assert pack_documents(df.limit(0), path).count() == 0
