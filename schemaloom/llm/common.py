@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str, *parts: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *parts: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet under the shared folder, in folders by parts, and read it again: cuts the lineage, and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*parts).parquet(path)
+    df.write.partitionBy(*parts).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

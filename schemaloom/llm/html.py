@@ -194,7 +194,8 @@ class Runs:
 
 
 def digest(block: str) -> int:
-    h = xxhash.xxh64_intdigest(block.encode("utf-8", "replace"))
+    """As Spark's xxhash64."""
+    h = xxhash.xxh64_intdigest(block.encode("utf-8", "replace"), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -211,14 +212,10 @@ class Shard:
             of = [k for k, x in enumerate(pages) if x[1] == sure]
             self.runs[sure] = of, Runs([[w for b in self.words[k] for w in b] for k in of], [places[pages[k][0]] for k in of], min_run)
 
-    def told(self) -> list[tuple[int, int, int, int, int]]:
-        """What other shards of the host must know: (kind, hash, least page, largest page, pages). Kinds: 0 a run of a page
-        without a main element, 1 a block of a main element, 2 the number of pages."""
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What other shards of the host must know of pages without a main element: hash, least and largest page of each run."""
         hashes, low, high = self.runs[False][1].distinct()
-        rows = [(0, h, a, b, 0) for h, a, b in zip(hashes.tolist(), self.names[low].tolist(), self.names[high].tolist(), strict=True)]
-        held = Counter(b for b in {(p, digest(x)) for p, sure, own in self.pages if sure for x in own})
-        counts = Counter(h for _, h in held)
-        return [*rows, *((1, h, 0, 0, c) for h, c in counts.items()), (2, 0, 0, 0, len(self.names))]
+        return hashes, self.names[low], self.names[high]
 
     def texts(self, elsewhere: np.ndarray | None = None, common: set[int] | None = None) -> list[str]:
         """elsewhere: hashes of runs that pages of two shards share; common: of blocks that most pages of the host hold (None: count here)."""
@@ -271,7 +268,7 @@ def cut_pages(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, min_run: int = 12, shard_chars: int = 250_000, max_broadcast: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    own = materialise(cut_pages(pages), "blocks")
+    own = materialise(cut_pages(pages), "blocks", compression="zstd")
     chars = F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     hosts = own.groupBy("host").agg(F.sum(chars).alias("chars")).where(F.col("chars") > shard_chars).select(F.col("host").alias("_host"), F.ceil(F.col("chars") / shard_chars).alias("_shards"))
     hosts = materialise(hosts, "hosts")
@@ -282,21 +279,23 @@ def main_text(pages: DataFrame, min_run: int = 12, shard_chars: int = 250_000, m
     if hosts.limit(1).count():
 
         def tell(got: pa.Table) -> pa.Table:
-            told = Shard(list(zip(got["page"].to_pylist(), got["sure"].to_pylist(), got["texts"].to_pylist(), strict=True)), min_run).told()
-            n = len(told)
-            names = ["kind", "hash", "low", "high", "pages"]
-            columns = [np.array([r[k] for r in told], np.int64) for k in range(5)]
-            return pa.table({"host": pa.array([got["host"][0].as_py()] * n, pa.string()), "shard": pa.array([got["shard"][0].as_py()] * n, pa.int64())} | dict(zip(names, columns, strict=True)))
+            hashes, low, high = Shard(list(zip(got["page"].to_pylist(), got["sure"].to_pylist(), got["texts"].to_pylist(), strict=True)), min_run).told()
+            n = len(hashes)
+            return pa.table({"host": pa.array([got["host"][0].as_py()] * n, pa.string()), "shard": pa.array([got["shard"][0].as_py()] * n, pa.int64()), "hash": hashes, "low": low, "high": high})
 
+        # Runs of pages without a main element: a shard hears of those that it saw on one page only and that another page holds.
         many = own.where("shard >= 0")
-        told = materialise(many.groupBy("host", "shard").applyInArrow(tell, "host string, shard long, kind long, hash long, low long, high long, pages long"), "told")
-        met = told.groupBy("host", "kind", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
-        sizes = met.where("kind = 2").select(F.col("host").alias("_host"), F.col("pages").alias("_of"))
-        blocks_ = met.where("kind = 1").join(broadcast_if_small(materialise(sizes, "sizes"), max_broadcast), F.col("host") == F.col("_host")).where(is_common(F.col("pages"), F.col("_of")))
-        shared = met.where("kind = 0 AND low <> high").select("host", "kind", "hash").unionByName(blocks_.select("host", "kind", "hash"))
-        # Each shard hears of what it has: runs that it saw on one page only, and blocks that are common.
-        heard = told.where("kind = 1 OR kind = 0 AND low = high").select("host", "shard", "kind", "hash").join(materialise(shared, "shared"), ["host", "kind", "hash"])
-        rows = own.unionByName(heard, allowMissingColumns=True)
+        told = materialise(many.where("NOT sure").groupBy("host", "shard").applyInArrow(tell, "host string, shard long, hash long, low long, high long"), "told")
+        shared = told.groupBy("host", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "hash")
+        heard = told.where("low = high").select("host", "shard", "hash").join(shared, ["host", "hash"]).select("host", "shard", F.lit(0).cast("long").alias("kind"), "hash")
+        # Blocks of main elements, of which only hashes move: every shard of a host hears of its common ones, which are few.
+        sizes = many.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("_of"))
+        held = many.where("sure").select("host", "page", F.explode(F.array_distinct(F.transform(F.filter("texts", lambda x: F.size(F.split(x, " ")) >= min_run), lambda x: F.xxhash64(x)))).alias("hash"))
+        held = held.groupBy("host", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where("pages >= 5")
+        common = materialise(held.join(broadcast_if_small(materialise(sizes, "sizes"), max_broadcast), "host").where(is_common(F.col("pages"), F.col("_of"))).select("host", "hash"), "common")
+        common = common.join(broadcast_if_small(hosts, max_broadcast), F.col("host") == F.col("_host"))
+        common = common.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shards") - 1)).alias("shard"), F.lit(1).cast("long").alias("kind"), "hash")
+        rows = own.unionByName(heard.unionByName(common), allowMissingColumns=True)
     else:
         rows = own.withColumns({"kind": F.lit(None).cast("long"), "hash": F.lit(None).cast("long")})
 
