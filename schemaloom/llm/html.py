@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm.common import broadcast_if_small, materialise, small_batches
@@ -251,12 +251,15 @@ def extract(pages: list[tuple[int | None, str | None]], min_run: int = 12) -> li
     return Shard([(-1 if i is None else i, *blocks(h)) for i, h in pages], min_run).texts()
 
 
+def host_of() -> Column:
+    return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+
+
 def cut_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, host, page (what tells pages apart), sure and texts, the blocks."""
     small_batches(pages.sparkSession)
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     page = F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url", "html"))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), page.alias("page"), "html")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of().alias("host"), page.alias("page"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,15 +269,13 @@ def cut_pages(pages: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "page_id long, url string, host string, page long, sure boolean, texts array<string>")
 
 
-def main_text(pages: DataFrame, min_run: int = 12, shard_chars: int = 250_000, max_broadcast: int = 100_000) -> DataFrame:
+def main_text(pages: DataFrame, min_run: int = 12, shard_chars: int = 400_000, max_broadcast: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    own = materialise(cut_pages(pages), "blocks", compression="zstd")
-    chars = F.aggregate("texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    hosts = own.groupBy("host").agg(F.sum(chars).alias("chars")).where(F.col("chars") > shard_chars).select(F.col("host").alias("_host"), F.ceil(F.col("chars") / shard_chars).alias("_shards"))
+    chars = F.sum(F.length(F.coalesce("html", F.lit(""))))
+    hosts = pages.groupBy(host_of().alias("_host")).agg(chars.alias("chars")).where(F.col("chars") > shard_chars).select("_host", F.ceil(F.col("chars") / shard_chars).alias("_shards"))
     hosts = materialise(hosts, "hosts")
-    own = own.join(broadcast_if_small(hosts, max_broadcast), F.col("host") == F.col("_host"), "left")
-    place = F.pmod(F.xxhash64("page"), F.col("_shards"))
-    own = own.select("page_id", "url", "host", "page", "sure", "texts", F.coalesce(place, F.lit(-1)).cast("long").alias("shard"))
+    placed = lambda df: df.join(broadcast_if_small(hosts, max_broadcast), F.col("host") == F.col("_host"), "left").drop("_host").withColumn("shard", F.coalesce(F.pmod(F.xxhash64("page"), F.col("_shards")), F.lit(-1)).cast("long"))
+    own = placed(cut_pages(pages)).select("page_id", "url", "host", "page", "sure", "texts", "shard")
     rows = own
     if hosts.limit(1).count():
 
@@ -283,14 +284,17 @@ def main_text(pages: DataFrame, min_run: int = 12, shard_chars: int = 250_000, m
             n = len(hashes)
             return pa.table({"host": pa.array([got["host"][0].as_py()] * n, pa.string()), "shard": pa.array([got["shard"][0].as_py()] * n, pa.int64()), "hash": hashes, "low": low, "high": high})
 
+        # Pages are cut twice, as that is cheaper than to write all texts: here for what shards must know, then for the shards.
+        long = F.filter("texts", lambda x: F.size(F.split(x, " ")) >= min_run)
+        facts = cut_pages(pages).select("host", "page", "sure", F.when(~F.col("sure"), F.col("texts")).alias("texts"), F.when(F.col("sure"), F.array_distinct(F.transform(long, lambda x: F.xxhash64(x)))).alias("hashes"))
+        many = placed(materialise(facts, "facts", compression="zstd")).where("shard >= 0")
         # Runs of pages without a main element: a shard hears of those that it saw on one page only and that another page holds.
-        many = own.where("shard >= 0")
         told = materialise(many.where("NOT sure").groupBy("host", "shard").applyInArrow(tell, "host string, shard long, hash long, low long, high long"), "told")
         shared = told.groupBy("host", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "hash")
         heard = told.where("low = high").select("host", "shard", "hash").join(shared, ["host", "hash"]).select("host", "shard", F.lit(0).cast("long").alias("kind"), "hash")
         # Blocks of main elements, of which only hashes move: every shard of a host hears of its common ones, which are few.
         sizes = many.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("_of"))
-        held = many.where("sure").select("host", "page", F.explode(F.array_distinct(F.transform(F.filter("texts", lambda x: F.size(F.split(x, " ")) >= min_run), lambda x: F.xxhash64(x)))).alias("hash"))
+        held = many.where("sure").select("host", "page", F.explode("hashes").alias("hash"))
         held = held.groupBy("host", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where("pages >= 5")
         common = materialise(held.join(broadcast_if_small(materialise(sizes, "sizes"), max_broadcast), "host").where(is_common(F.col("pages"), F.col("_of"))).select("host", "hash"), "common")
         common = common.join(broadcast_if_small(hosts, max_broadcast), F.col("host") == F.col("_host"))
