@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from helpers import documents, prose
+from helpers import awkward, documents, prose
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as P  # noqa: E402
@@ -69,3 +69,23 @@ def test_each_stage_does_its_work_on_what_is_left(spark, tmp_path):
             assert max(used.values()) <= 4096
         docs, last = out, got
     assert sizes[0] > sizes[2] > sizes[3]
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path)
+    docs = documents(spark, awkward()).selectExpr("*", "1 AS score", "2 AS h", "'x' AS salt", "3 AS component_id", "4 AS hits", "5 AS piece", "6 AS id")
+    for df in (docs, docs.limit(0)):
+        rows = df.count()
+        for name, stage in P.STAGES:
+            got = stage(spark, df, str(tmp_path))
+            n = got.count()
+            assert n <= rows if not rows or name == "quality" else n >= 1
+            if name != "pack":
+                assert got.columns == docs.columns
+            if rows and name == "line_dedup":
+                assert n == rows
+            if rows and name == "near_dedup":
+                left = [r.doc_id for r in got.collect()]
+                assert left.count(None) == 2 and all(left.count(i) == 1 for i in left if i is not None)
+            if rows and name == "pack":
+                assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()}
