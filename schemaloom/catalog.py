@@ -270,6 +270,18 @@ def bloom_membership(spark, sf):
     return M.unseen_values(n.where("doc_id % 10 = 0"), n.where("doc_id % 10 <> 0"))
 
 
+BLOOM_SQL = "WITH v AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') SELECT '$.v' AS path, 'integer' AS type, count(*)::BIGINT AS known, 0::BIGINT AS missed FROM v"
+
+
+@query("bloom_filter", BLOOM_SQL)
+def bloom_filter(spark, sf):
+    """A discovered filter knows every value it has seen."""
+    docs = docs_of(spark, sf, "orders", "IF(o_orderstatus = 'F', o_orderkey, NULL)", v="o_custkey").where("doc_id IS NOT NULL")
+    n = discover_schema(docs, Params().only("bloom", "properties", "required"))
+    known = M.distinct_counts(nodes_of(docs).where("path = '$.v'")).select("path", "type", F.col("distinct_values").alias("known"))
+    return known.crossJoin(find_anomalies(docs, n).agg(F.count("*").alias("missed")))  # one row each
+
+
 # --- strings, booleans, enumerations ---
 
 
@@ -480,18 +492,22 @@ def schema_subset(spark, sf):
     return spark.createDataFrame([(model.covers(whole, part), model.covers(part, whole))], "whole_covers_part boolean, part_covers_whole boolean")
 
 
+def halves(spark, sf) -> list[model.Node]:
+    """The schemas of orders of even and of odd keys."""
+    docs, keep = from_table(table(spark, sf, "orders"), "o_orderkey", *NUMBER_COLUMNS), Params().only("minimum", "maximum", "properties", "required")
+    return [discover_schema(docs.where(f"doc_id % 2 = {k}"), keep) for k in (0, 1)]
+
+
 @query("union_merge", _numbers_sql().replace("count(*)::BIGINT AS count, ", ""))
 def union_merge(spark, sf):
-    n = order_numbers(spark, sf)
-    parts = M.number_facts(n.where("doc_id % 2 = 0")).unionByName(M.number_facts(n.where("doc_id % 2 = 1")))
-    return parts.groupBy("path", "type").agg(F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"))
+    n = reduce(model.merge, halves(spark, sf))
+    return literal(spark, [(f"$.{k}", x.kind, float(x.facts["minimum"][0]), float(x.facts["maximum"][0])) for k, x in n.keys.items()], "path string, type string, minimum double, maximum double")
 
 
 @query("intersect_merge", "SELECT '$.' || k AS path, greatest(lo0, lo1)::DOUBLE AS minimum, least(hi0, hi1)::DOUBLE AS maximum FROM (SELECT 'o_totalprice' AS k, min(o_totalprice) FILTER (o_orderkey % 2 = 0) AS lo0, min(o_totalprice) FILTER (o_orderkey % 2 = 1) AS lo1, max(o_totalprice) FILTER (o_orderkey % 2 = 0) AS hi0, max(o_totalprice) FILTER (o_orderkey % 2 = 1) AS hi1 FROM orders)")
 def intersect_merge(spark, sf):
-    n = order_numbers(spark, sf).where("path = '$.o_totalprice'")
-    a, b = (M.number_facts(n.where(f"doc_id % 2 = {k}")).select("path", F.col("minimum").alias(f"lo{k}"), F.col("maximum").alias(f"hi{k}")) for k in (0, 1))
-    return a.join(b, "path").select("path", F.greatest("lo0", "lo1").alias("minimum"), F.least("hi0", "hi1").alias("maximum"))
+    n = model.merge(*halves(spark, sf), model.INTERSECT).keys["o_totalprice"]
+    return literal(spark, [("$.o_totalprice", n.facts["minimum"][0], n.facts["maximum"][0])], "path string, minimum double, maximum double")
 
 
 @query("split_train_test", "SELECT count(*)::BIGINT AS documents, true AS near_fraction FROM orders")

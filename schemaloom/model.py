@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Callable, Iterator
 from copy import deepcopy
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
+from schemaloom.functions import membership
 from schemaloom.functions.exprs import GAMMA
 from schemaloom.functions.numbers import contract, factors, lcm, widen
 from schemaloom.params import MAX_EXAMPLE_CHARS, MAX_EXPAND_ROUNDS, MIN_PATTERN_VALUES, Params
@@ -198,10 +200,11 @@ def moments(a: dict, b: dict) -> dict:
         return a if a["n"] else b
     n, d = a["n"] + b["n"], b["mean"] - a["mean"]
     p, q = a["n"], b["n"]
+    d2 = d * d  # products become infinite where powers would raise
     return {
-        "n": n, "mean": a["mean"] + d * q / n, "m2": a["m2"] + b["m2"] + d**2 * p * q / n,
-        "m3": a["m3"] + b["m3"] + d**3 * p * q * (p - q) / n**2 + 3 * d * (p * b["m2"] - q * a["m2"]) / n,
-        "m4": a["m4"] + b["m4"] + d**4 * p * q * (p * p - p * q + q * q) / n**3 + 6 * d**2 * (p * p * b["m2"] + q * q * a["m2"]) / n**2 + 4 * d * (p * b["m3"] - q * a["m3"]) / n,
+        "n": n, "mean": a["mean"] + d * q / n, "m2": a["m2"] + b["m2"] + d2 * p * q / n,
+        "m3": a["m3"] + b["m3"] + d2 * d * p * q * (p - q) / n**2 + 3 * d * (p * b["m2"] - q * a["m2"]) / n,
+        "m4": a["m4"] + b["m4"] + d2 * d2 * p * q * (p * p - p * q + q * q) / n**3 + 6 * d2 * (p * p * b["m2"] + q * q * a["m2"]) / n**2 + 4 * d * (p * b["m3"] - q * a["m3"]) / n,
     }
 
 
@@ -210,9 +213,17 @@ def _statistics(s: dict) -> dict:
     out = {"total": n * s["mean"], "mean": s["mean"]}
     if n > 1:
         out |= {"variance": m2 / (n - 1), "stdev": math.sqrt(m2 / (n - 1))}
-    if m2 > 0:
-        out |= {"skewness": math.sqrt(n) * s["m3"] / m2**1.5, "kurtosis": n * s["m4"] / m2**2 - 3}
-    return {"statistics": out}
+    if (cube := m2 * math.sqrt(m2)) > 0 and (square := m2 * m2) > 0:
+        out |= {"skewness": math.sqrt(n) * s["m3"] / cube, "kurtosis": n * s["m4"] / square - 3}
+    return {"statistics": {k: v for k, v in out.items() if math.isfinite(v)}}  # beyond doubles nothing is said
+
+
+_TOP_BIN = math.floor(math.log(sys.float_info.max) / math.log(GAMMA)) - 1
+
+
+def power(k: int) -> float:
+    """Upper bound of a histogram's bin."""
+    return GAMMA**k if k <= _TOP_BIN else math.inf
 
 
 def edge(bins: dict[tuple[int, int | None], int], top: bool) -> float:
@@ -222,7 +233,7 @@ def edge(bins: dict[tuple[int, int | None], int], top: bool) -> float:
         if sign == 0:
             bounds.append(0.0)
         else:
-            low, high = GAMMA ** (k - 1), GAMMA**k
+            low, high = power(k - 1), power(k)
             bounds.append((high if top else low) if sign > 0 else -(low if top else high))
     return max(bounds) if top else min(bounds)
 
@@ -234,7 +245,7 @@ def _histogram_objects(bins: dict, v) -> tuple[str, str] | None:
 
 
 def _histogram_write(name: str) -> Callable[[dict], dict]:
-    return lambda bins: {name: sorted([0.0 if s == 0 else s * 2 * GAMMA**k / (GAMMA + 1), n] for (s, k), n in bins.items())}
+    return lambda bins: {name: {"bins": sorted([0.0 if s == 0 else s * min(2 / (GAMMA + 1) * power(k), sys.float_info.max), n] for (s, k), n in bins.items()), "hasExtremeValues": False}}
 
 
 def _dependencies_cover(own: dict, other: dict | None) -> bool:
@@ -250,10 +261,11 @@ FACTS: dict[str, Fact] = {
         lambda own, other: (isinstance(own, int) and own <= 1) or (other is not None and divides(own, other)), _widen_multiple, write=lambda m: {"multipleOf": plain(m)} if not isinstance(m, int) or m > 1 else {},
     ),
     "distinct": Fact(lambda a, b: a + b, write=lambda n: {"distinctValues": n}),
-    "values": Fact(lambda a, b: a | b, objects=lambda own, v: (f"value {v} not found in bloom filter", INFO) if v not in own else None),
+    "bloom": Fact(lambda a, b: a | b, objects=lambda own, v: (f"value {v} not found in bloom filter", INFO) if membership.bits(v) & ~own else None, write=lambda own: {"bloomFilter": membership.to_text(own)}),
     "examples": Fact(lambda a, b: a | b, write=lambda xs: {"examples": sorted(map(plain, xs))} if xs else {}),
     "statistics": Fact(moments, write=_statistics),
     "histogram": Fact(_add, objects=_histogram_objects, write=_histogram_write("histogram")),
+    "extreme": Fact(lambda a, b: a or b),  #: a histogram's: some whole number is beyond 64 bits
     "length_histogram": Fact(_add, objects=lambda own, v: _histogram_objects(own, len(v)), write=_histogram_write("lengthHistogram")),
     "min_length": Fact(min, max, lambda own, other: other is not None and own <= other, lambda a, b: contract(a, b, False, b is None)[0], lambda n, s: (f"value is shorter than minimum length {n}", WARNING) if len(s) < n else None, lambda n: {"minLength": n}),
     "max_length": Fact(max, min, lambda own, other: other is not None and own >= other, lambda a, b: widen(a, b, False, b is None)[0], lambda n, s: (f"value is longer than maximum length {n}", WARNING) if len(s) > n else None, lambda n: {"maxLength": n}),
@@ -395,28 +407,39 @@ def _merge_product(p: Node, other: Node, how: str, relation: str) -> Node:
     if other.kind == "product":
         if p.how == "allOf" and other.how == "allOf":
             return Node("product", parts=[*p.parts, *other.parts], counts=[*p.counts, *other.counts], how="allOf")
-        if how == INTERSECT and "allOf" in (p.how, other.how) or (how == INTERSECT and p.how != other.how):
+        if how == INTERSECT and p.how != other.how:
             return Node("product", parts=[p, other], counts=[1, 1], how="allOf")
+        if how == INTERSECT:  # a value that fits one of each
+            return _alternatives([merge(x, y, how, relation) for x in p.parts for y in other.parts], p.how)
+        if "allOf" in (p.how, other.how):  # conditions that hold together are one alternative
+            whole, some = (p, other) if p.how == "allOf" else (other, p)
+            return Node("product", dict(some.facts), parts=[*some.parts, whole], counts=[*(some.counts or [1] * len(some.parts)), 1], how=some.how)
         out = p
         for x in other.parts:
             out = _merge_product(out, x, how, relation) if out.kind == "product" else merge(out, x, how, relation)
         if out.kind == "product":
             out.how = "anyOf" if "anyOf" in (p.how, other.how) else out.how
         return out
+    if how == INTERSECT:
+        if p.how == "allOf":
+            return Node("product", dict(p.facts), parts=[*p.parts, other], counts=[*(p.counts or [1] * len(p.parts)), 1], how="allOf")
+        return _alternatives([merge(x, other, how, relation) for x in p.parts], p.how)
     counts = list(p.counts or [1] * len(p.parts))
     for k, x in enumerate(p.parts):
         if fusable(x, other, relation):
             parts = list(p.parts)
             parts[k] = merge(x, other, how, relation)
             counts[k] += 1
-            if how == INTERSECT:
-                return parts[k]
             return Node("product", dict(p.facts), parts=parts, counts=counts, how=p.how)
-    if how == INTERSECT:
-        return Node("zero")
     return Node("product", dict(p.facts), parts=[*p.parts, other], counts=[*counts, 1], how=p.how)
 
 
+def _alternatives(parts: list[Node], how: str) -> Node:
+    """Those of the parts that allow anything."""
+    parts = [x for x in parts if x.kind != "zero"]
+    return Node("zero") if not parts else parts[0] if len(parts) == 1 else Node("product", parts=parts, counts=[1] * len(parts), how=how)
+
+
 # --- values ---
 
 
@@ -449,17 +472,19 @@ def of_value(v, params: Params = Params()) -> Node | None:
         if has("multiple") and (kind == "integer" or abs(v) >= 1e-10):
             f["multiple"] = abs(v) if kind == "integer" else abs(Decimal(str(v)))
         if has("statistics"):
-            f["statistics"] = {"n": 1, "mean": float(v), "m2": 0.0, "m3": 0.0, "m4": 0.0}
+            f["statistics"] = {"n": 1, "mean": membership.as_double(v), "m2": 0.0, "m3": 0.0, "m4": 0.0}
         if has("bloom"):
-            f["values"] = {plain(v)}
+            f["bloom"] = membership.bits(v)
         if has("examples"):
             f["examples"] = {plain(v)}
         if has("histogram"):
-            f["histogram"] = {(0, None) if v == 0 else ((1 if v > 0 else -1), math.ceil(math.log(abs(float(v))) / math.log(GAMMA))): 1}
+            f["histogram"] = {(0, None) if v == 0 else ((1 if v > 0 else -1), math.ceil(math.log(abs(v)) / math.log(GAMMA))): 1}
+            if kind == "integer" and not -(2**63) <= v < 2**63:
+                f["extreme"] = True
     elif kind == "string":
         f |= {k: len(v) for k in ("min_length", "max_length") if has(k)}
         if has("bloom"):
-            f["values"] = {v}
+            f["bloom"] = membership.bits(v)
         if has("examples"):
             f["examples"] = {shown(v)}
         if has("format"):
@@ -779,6 +804,15 @@ def replace_at(n: Node, pointer: str, new: Node) -> Node:
     return out
 
 
+def replace_with_reference(n: Node, pointer: str, target: str) -> Node:
+    return replace_at(n, pointer, Node("reference", target=target))
+
+
+def reset(n: Node) -> Node:
+    """A schema of the same kind that has seen no value."""
+    return Node(n.kind, how=n.how, target=n.target)
+
+
 def resolve(root: Node, target: str) -> Node | None:
     seen = set()
     while True:
@@ -902,6 +936,8 @@ def write(n: Node) -> dict | bool:
             for k, value in n.facts.items():
                 if k != "numeric":
                     out |= FACTS[k].write(value)
+            if n.get("extreme") and "histogram" in out:
+                out["histogram"]["hasExtremeValues"] = True
         if n.kind == "object":
             out["properties"] = {k: write(x) for k, x in sorted(n.keys.items())}
             if n.patterns:

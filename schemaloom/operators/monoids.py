@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from schemaloom.functions import membership
 from schemaloom.functions.exprs import bin_of, common_prefix, format_of, formats, shown
 from schemaloom.params import MAX_DEPENDENCY_KEYS, MIN_FORMAT_VALUES, MIN_PATTERN_VALUES
 
@@ -189,6 +190,14 @@ def unseen_values(nodes: DataFrame, known: DataFrame) -> DataFrame:
     return value_sets(nodes).join(value_sets(known), ["path", "type", "value"], "left_anti")
 
 
+def bloom_filters(nodes: DataFrame) -> DataFrame:
+    """(path, type, words): each path's Bloom filter as (place, 64 bits) rows. Tasks keep the filter's words, not the values."""
+    own = nodes.where("type = 'string' OR (type IN ('integer', 'number') AND d IS NOT NULL)")
+    place = F.explode(F.when(F.col("type") == "string", membership.places_of(F.col("s"))).otherwise(membership.places_of(F.col("d"))))
+    words = own.select("path", "type", place.alias("place")).groupBy("path", "type", F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, place & 63))").alias("bits"))
+    return words.groupBy("path", "type").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))  # at most BITS / 64 a path
+
+
 def enumerations(nodes: DataFrame, ratio: int = 10, limit: int = 50) -> DataFrame:
     """(path, type, values): paths whose values repeat often enough and are few. Only counts of large paths move on."""
     counts = scalar(nodes).groupBy("path", "type", "value").agg(F.count("*").alias("n"))

@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions import membership
 from schemaloom.functions.exprs import format_of, formats
 from schemaloom.model import ZERO, Node, merge, plain, top_format
 from schemaloom.operators import monoids as M
@@ -33,6 +34,8 @@ def property_columns(params: Params) -> dict[str, Column]:
         out["max_d"], out["max_i"] = F.max(d), F.max("i")
     if "statistics" in numbers:
         out |= {"mean": F.avg(d), "variance": F.var_pop(d), "skewness": F.skewness(d), "kurtosis": F.kurtosis(d)}
+    if "histogram" in numbers:
+        out["extreme"] = F.bool_or(~F.col("i").between(-(2**63), 2**63 - 1))
     if "distinct" in numbers | params.properties["string"]:
         out["distinct"] = F.approx_count_distinct(F.coalesce(s, F.col("i").cast("string"), d.cast("string")))
     if params.properties["array"] - {"items"}:
@@ -122,6 +125,8 @@ def _facts(r, d: Discovery, extra: dict[str, dict]) -> dict[str, Any]:
             f["distinct"] = row["distinct"]
         if has("histogram"):
             f["histogram"] = extra["bins"].get(at, {})
+            if row["extreme"]:
+                f["extreme"] = True
     elif r.type == "string":
         f |= {k: row[k] for k in ("min_length", "max_length") if has(k)}
         if has("format"):
@@ -152,6 +157,8 @@ def _facts(r, d: Discovery, extra: dict[str, dict]) -> dict[str, Any]:
             f["unique"] = extra["unique"].get(r.path, False)
         if has("length_histogram"):
             f["length_histogram"] = extra["lengths"].get(at, {})
+    if has("bloom") and at in extra["bloom"]:
+        f["bloom"] = extra["bloom"][at]
     if has("examples") and at in extra["examples"]:
         cast = {"integer": _integer, "number": lambda x: plain(Decimal(x)), "string": str}[r.type]
         f["examples"] = {cast(x) for x in extra["examples"][at]}
@@ -161,7 +168,7 @@ def _facts(r, d: Discovery, extra: dict[str, dict]) -> dict[str, Any]:
 def _tables(d: Discovery) -> dict[str, dict]:
     p, nodes = d.params, d.nodes
     numbers, any_ = p.properties["integer"] | p.properties["number"], lambda name: any(name in v for v in p.properties.values())
-    extra: dict[str, dict] = {k: {} for k in ("multiple", "bins", "lengths", "unique", "examples", "dependencies")}
+    extra: dict[str, dict] = {k: {} for k in ("multiple", "bins", "lengths", "unique", "examples", "bloom", "dependencies")}
     if "multiple" in numbers:
         extra["multiple"] = {(r.path, r.type): r.multiple for r in M.multiples(nodes).collect()}
     for name, wanted, table in (("bins", "histogram", M.number_bins), ("lengths", "length_histogram", M.length_bins)):
@@ -173,6 +180,8 @@ def _tables(d: Discovery) -> dict[str, dict]:
     if any_("examples"):
         for r in M.examples(nodes, p.max_examples, p.seed).collect():
             extra["examples"].setdefault((r.path, r.type), []).append(r.value)
+    if any_("bloom"):
+        extra["bloom"] = {(r.path, r.type): membership.of_words(r.words) for r in M.bloom_filters(nodes).collect()}
     if p.has("object", "dependencies"):
         for r in M.dependencies(nodes).collect():
             extra["dependencies"].setdefault(r.path, {}).setdefault(r.key, set()).add(r.needs)

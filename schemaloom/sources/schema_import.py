@@ -6,6 +6,7 @@ import json
 from copy import deepcopy
 from typing import Any
 
+from schemaloom.functions import membership
 from schemaloom.model import INTERSECT, Node, find, merge
 
 REFUSED = ("if", "then", "else", "unevaluatedProperties", "unevaluatedItems", "dependencies", "dependentSchemas", "contains")
@@ -110,6 +111,11 @@ def _typed(kind: str, doc: dict) -> Node:
         if "dependentRequired" in doc:
             f["dependencies"] = {k: set(v) for k, v in doc["dependentRequired"].items()}
         return Node("object", f, {k: load(v) for k, v in doc.get("properties", {}).items()}, {k: load(v) for k, v in doc.get("patternProperties", {}).items()})
+    if kind in ("integer", "number", "string") and "bloomFilter" in doc:
+        try:
+            f["bloom"] = membership.from_text(doc["bloomFilter"])
+        except (ValueError, TypeError) as e:
+            raise Unsupported("bloomFilter") from e
     return Node(kind, f)
 
 

@@ -1,5 +1,6 @@
 import io
 import json
+import os
 from functools import reduce
 
 import pytest
@@ -16,7 +17,7 @@ from schemaloom.plans.discover import discover, discover_schema
 from schemaloom.plans.shred import shred, shred_strict
 from schemaloom.sources.documents import bad_documents, from_strings, from_values, read_ndjson
 from schemaloom.sources.schema_import import load
-from schemaloom.streaming.discover import StreamingSchema
+from schemaloom.streaming.discover import StreamingSchema, key_counts
 
 DOCS = [
     {"a": 1, "b": [1, 2], "c": {"d": "x", "e": None}, "f": True, "g.h": 2.5, "u": 3},
@@ -139,6 +140,41 @@ def test_streaming_union(spark, tmp_path):
     assert running.schema.keys["a"].facts["maximum"] == (2, False) and set(running.schema.keys) == {"a", "k0", "k1", "k2"} and running.schema.facts["required"] == {"a"}
 
 
+def test_streaming_goes_on_after_a_restart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = lambda: spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")).selectExpr("xxhash64(value) AS doc_id", "value AS json")
+    for part in (["a", "b", "c"], ["d", "e"], []):
+        for k in part:
+            (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"x": ord(k), k: 1.5}) + "\n")
+        running = StreamingSchema()  # as a new driver would
+        running.start(lines(), str(tmp_path / "ck")).awaitTermination()
+    assert set(running.schema.keys) == {"x", *"abcde"} and running.schema.facts["count"] == 5 and running.schema.facts["required"] == {"x"}
+    assert running.schema.keys["x"].facts["minimum"] == (97, False) and running.schema.keys["x"].facts["statistics"]["n"] == 5
+    before = running.schema
+    running.update(spark.createDataFrame([(1, "{}")], "doc_id long, json string"), running.last)  # a batch run again
+    assert running.schema is before
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, (t, keys) in enumerate([("2024-01-01 00:01:00", "ab"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 05:00:00", "b"), ("2024-01-01 05:01:00", "b"), ("2024-01-01 00:03:00", "a"), ("2024-01-02 00:00:00", "c")]):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"ts": t, "json": json.dumps(dict.fromkeys(keys, 1))}))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k,) * 2)
+    docs = spark.readStream.schema("ts timestamp, json string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    out = key_counts(docs, "ts", "10 minutes", "1 hour")
+    out.writeStream.format("memory").queryName("windowed_counts").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    found = {(str(r.start), r.key, r.documents) for r in spark.table("windowed_counts").collect()}
+    assert found == {("2024-01-01 00:00:00", "a", 2), ("2024-01-01 00:00:00", "b", 1), ("2024-01-01 05:00:00", "b", 2)}  # a watermark counts from the batch after next; the last window is still open
+
+
+def test_discovered_filters_equal_folded_ones(spark):
+    docs = [{"i": k, "s": f"é{k}", "x": k / 7, "u": 2**70 + k if k % 2 else -0.0} for k in range(30)]
+    found, folded = discover_schema(from_values(spark, docs)), reduce(model.merge, map(of_value, docs))
+    for k in "isxu":
+        assert found.keys[k].facts["bloom"] == folded.keys[k].facts["bloom"]
+    assert discover_schema(from_values(spark, [{"u": 2**70}])).keys["u"].facts["extreme"] and "extreme" not in found.keys["i"].facts
+
+
 def test_serving_protocol():
     lines = [{"cmd": "start", "version": 1}, {"cmd": "dialect"}, {"cmd": "run", "seq": 1, "case": {"schema": {"type": "integer"}, "tests": [{"instance": 1}, {"instance": "x"}]}}, {"cmd": "run", "seq": 2, "case": {"schema": {"if": {}}, "tests": []}}, {"cmd": "stop"}]
     out = io.StringIO()

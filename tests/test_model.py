@@ -12,6 +12,7 @@ from schemaloom.operators import passes
 from schemaloom.params import Params
 from schemaloom.sources.schema_import import Unsupported, detect, load
 from schemaloom.sources.sinks import value_csv
+from schemaloom.streaming import state
 
 values = st.recursive(
     st.none() | st.booleans() | st.integers(-(2**53), 2**53) | st.floats(allow_nan=False, allow_infinity=False, width=32) | st.text(max_size=8),
@@ -131,3 +132,58 @@ def test_places_and_writing():
     json.dumps(doc)
     assert value_csv(schema_of([{"a": 2, "b": "x"}, {"a": 1}])) == "$.a,$.b\n1,x\n2,\n"
     assert m.entropy(schema_of([{"a": 1, "b": 2}, {"a": 1}])) == 2
+
+
+def test_products_meet_products():
+    one, any_, all_ = ({how: [{"type": "integer"}, {"type": "string"}]} for how in ("oneOf", "anyOf", "allOf"))
+    both = {"allOf": [{"type": "integer", "minimum": 3}, {"type": "integer", "maximum": 8}]}
+    assert [x.kind for x in m.merge(load(one), load(one), m.INTERSECT).parts] == ["integer", "string"]
+    n = m.merge(load({"anyOf": [{"type": "integer", "maximum": 3}, {"type": "integer", "minimum": 8}]}), load({"type": "integer", "minimum": 2}), m.INTERSECT)
+    assert [bool(m.anomalies(n, v)) for v in (1, 2, 5, 9)] == [True, False, True, False]
+    narrow = m.merge(load(both), load({"type": "integer", "multipleOf": 2}), m.INTERSECT)
+    assert narrow.how == "allOf" and [bool(m.anomalies(narrow, v)) for v in (2, 4, 9)] == [True, False, True]
+    for a, b in ((both, {"oneOf": [{"type": "string"}, {"type": "null"}]}), ({"anyOf": [{"type": "string"}, {"type": "null"}]}, both)):
+        n = m.merge(load(a), load(b))
+        assert n.how != "allOf" and [bool(m.anomalies(n, v)) for v in (2, 4, "x", None)] == [True, False, False, False]
+    assert m.merge(load(one), load(any_), m.INTERSECT).how == "allOf" and m.merge(load(one), load(any_)).how == "anyOf"
+    assert len(m.merge(load(all_), load(both)).parts) == 4
+    assert m.merge(load(one), m.of_value(True), m.INTERSECT).kind == "zero"
+
+
+@given(st.lists(st.integers() | st.floats(allow_nan=False, allow_infinity=False), max_size=20), st.lists(st.text(), max_size=20))
+def test_bloom_filters_miss_no_value_and_survive_writing(numbers, texts):
+    for vs in (numbers, texts):
+        n = schema_of(vs)
+        for own in [n] if vs else []:
+            read = load(m.write(own))
+            assert read.facts["bloom"] == own.facts["bloom"] and not own.facts["bloom"] & ~m.merge(own, own).facts["bloom"]
+            assert not [a for v in vs for a in m.anomalies(m.Node(own.kind, {"bloom": own.facts["bloom"]}), v)]
+    seen = schema_of(range(50))
+    assert sum("bloom" in a.message for v in range(1000, 2000) for a in m.anomalies(seen, v)) > 990
+    with pytest.raises(Unsupported):
+        load({"type": "string", "bloomFilter": "AAAA"})
+
+
+def test_statistics_of_numbers_beyond_doubles():
+    for vs in ([0, 1e300, -1e300], [0.0, 1e77], [10**400, 1], [1e-200, 3e-200]):
+        json.dumps(m.write(schema_of(vs)), allow_nan=False)
+
+
+def test_histograms_tell_of_extreme_values():
+    own = m.write(schema_of([1, 2]))["histogram"]
+    assert [n for _, n in own["bins"]] == [1, 1] and own["hasExtremeValues"] is False
+    assert m.write(schema_of([1, 2**63]))["histogram"]["hasExtremeValues"] and not m.write(schema_of([-(2**63)]))["histogram"]["hasExtremeValues"]
+
+
+def test_references_resets_and_state():
+    n = m.of_value({"a": {"b": 1}, "c": ["x", 2.5]})
+    edited = m.replace_with_reference(n, "/a/b", "#/$defs/t")
+    assert m.write(edited.keys["a"].keys["b"]) == {"$ref": "#/$defs/t"} and n.keys["a"].keys["b"].kind == "integer"
+    assert m.reset(n) == m.Node("object") and m.merge(m.reset(n.keys["c"].tuple[0]), m.of_value("y")).kind == "string"
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(values, min_size=1, max_size=4))
+def test_state_keeps_every_fact(vs):
+    n = schema_of(vs)
+    assert state.from_text(state.to_text(n)) == n
