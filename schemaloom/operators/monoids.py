@@ -46,15 +46,21 @@ def required_keys(nodes: DataFrame) -> DataFrame:
     return key_presence(nodes).where("present = total").select("path", "key")
 
 
+def key_sets(nodes: DataFrame) -> DataFrame:
+    """Objects with their sorted keys, which stand in the object's row; none where the keys became a map's while shredding."""
+    maps = nodes.where("key IS NULL AND path = concat(parent, '.*')").select(F.col("parent").alias("_map")).distinct()
+    own = nodes.where("type = 'object'").join(F.broadcast(maps), F.col("path") == F.col("_map"), "left")  # paths that were few enough to collect
+    return own.withColumn("keys", F.when(F.col("_map").isNull(), F.col("keys")).otherwise(F.array().cast("array<string>"))).drop("_map")
+
+
 def key_pairs(nodes: DataFrame, max_keys: int = MAX_DEPENDENCY_KEYS) -> DataFrame:
     """(path, a, b, both) for a < b; paths where some object has more than max_keys keys are left out.
 
-    Keys meet within their object (an array of max_keys at most), not by a self-join.
+    Keys meet within their object (an array of max_keys at most), not by a self-join, and only counts of key sets move.
     """
     wide = nodes.where((F.col("type") == "object") & (F.col("n") > max_keys)).select(F.col("path").alias("parent")).distinct()
-    keys = nodes.where(F.col("key").isNotNull()).join(wide, "parent", "left_anti")
-    own = keys.groupBy("parent", "parent_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    same = own.groupBy("parent", "keys").agg(F.count("*").alias("times"))  # few distinct key sets
+    own = key_sets(nodes).where((F.size("keys") > 0) & (F.col("n") <= max_keys))
+    same = own.groupBy(F.col("path").alias("parent"), "keys").agg(F.count("*").alias("times")).join(wide, "parent", "left_anti")
     pairs = same.select("parent", "keys", "times", F.explode("keys").alias("a")).select("parent", "times", "a", F.explode(F.filter("keys", lambda k: k > F.col("a"))).alias("b"))
     return pairs.groupBy(F.col("parent").alias("path"), "a", "b").agg(F.sum("times").alias("both"))
 

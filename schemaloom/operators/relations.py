@@ -12,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.operators.monoids import key_sets
+
 
 def signatures(nodes: DataFrame, with_types: bool = False) -> DataFrame:
     """(path, node_id, signature) of every object; keys are sorted, types are shallow and numbers are one type."""
+    if not with_types:
+        return key_sets(nodes).select("path", "node_id", F.array_join("keys", "\x00").alias("signature"))
     kind = F.when(F.col("type") == "integer", "number").otherwise(F.col("type"))
-    part = F.concat("key", F.lit("\x01"), kind) if with_types else F.col("key")
+    part = F.concat("key", F.lit("\x01"), kind)
     own = nodes.where(F.col("key").isNotNull()).groupBy("parent_id").agg(F.array_join(F.array_sort(F.collect_set(part)), "\x00").alias("signature"))
     return nodes.where("type = 'object'").select("path", "node_id").join(own, F.col("node_id") == F.col("parent_id"), "left").select("path", "node_id", F.coalesce("signature", F.lit("")).alias("signature"))
 
@@ -79,8 +83,8 @@ def disjoint_key_sets(nodes: DataFrame) -> dict[str, list[set[str]]]:
     Keys of an object are linked to its least one; each task reduces its links to a forest, so that the driver gets at
     most (keys x tasks) of them.
     """
-    own = nodes.where(F.col("key").isNotNull()).groupBy(F.col("parent").alias("path"), "parent_id").agg(F.min("key").alias("least"), F.collect_set("key").alias("keys"))
-    links = own.select("path", "least", F.explode("keys").alias("key")).distinct()
+    own = key_sets(nodes).where(F.size("keys") > 0).select("path", "keys").distinct()
+    links = own.select("path", F.col("keys")[0].alias("least"), F.explode("keys").alias("key")).distinct()
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[tuple[str, str], str] = {}

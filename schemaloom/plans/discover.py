@@ -44,8 +44,7 @@ def property_columns(params: Params) -> dict[str, Column]:
     if text & {"min_length", "max_length"}:
         out["min_length"], out["max_length"] = F.min(F.length(s)), F.max(F.length(s))
     if "format" in text:
-        form = format_of(s, params.extended_formats)
-        out["formats"] = F.struct(*(F.count_if(form == name).alias(name) for name, _ in (*formats(params.extended_formats), ("none", ""))))
+        out["formats"] = F.struct(*(F.count_if(F.col("format") == name).alias(name) for name, _ in (*formats(params.extended_formats), ("none", ""))))
     if "pattern" in text:
         out |= {"low": F.min(s), "high": F.max(s), "back_low": F.min(F.reverse(s)), "back_high": F.max(F.reverse(s))}
     if params.numeric_strings:
@@ -55,6 +54,8 @@ def property_columns(params: Params) -> dict[str, Column]:
 
 
 def property_table(nodes: DataFrame, params: Params = Params(), by: tuple[str, ...] = ()) -> DataFrame:
+    if "format" in params.properties["string"]:  # the cascade of patterns once a string, not once a format
+        nodes = nodes.withColumn("format", F.when(F.col("type") == "string", format_of(F.col("s"), params.extended_formats)))
     return nodes.groupBy("path", "parent", "key", "type", *by).agg(*(c.alias(k) for k, c in property_columns(params).items()))
 
 

@@ -20,7 +20,7 @@ from pyspark.storagelevel import StorageLevel
 
 from schemaloom.params import Params
 
-NODE_COLUMNS = ("doc_id", "node_id", "parent_id", "path", "parent", "key", "depth", "type", "n", "s", "i", "d", "m", "b")
+NODE_COLUMNS = ("doc_id", "node_id", "parent_id", "path", "parent", "key", "depth", "type", "n", "s", "i", "d", "m", "b", "keys")
 
 
 @dataclass
@@ -69,6 +69,7 @@ def _typed(level: DataFrame) -> DataFrame:
         F.when(is_("integer", "number"), F.expr("try_variant_get(v, '$', 'double')")).alias("d"),
         F.when(is_("integer", "number"), F.expr("try_variant_get(v, '$', 'decimal(38,12)')")).alias("m"),
         F.when(is_("boolean"), F.expr("cast(v as boolean)")).alias("b"),
+        F.when(is_("object"), F.expr("array_sort(map_keys(cast(v as map<string, variant>)))")).alias("keys"),
     )
 
 
