@@ -5,8 +5,8 @@ differs by one bit at most (``segments > max_bits / 2``). Each distinct fingerpr
 is and under the segment with each one bit as a wildcard; equality joins of these keys yield all pairs that agree on a
 segment up to one bit, and the whole fingerprints are then compared. Copies share a fingerprint and meet before the join,
 so that a group of copies is one row of it. Keys that very many fingerprints share leave the join; their fingerprints are
-joined on keys with ``max_bits`` wildcards over all 64 bits, of which a group holds 2^max_bits fingerprints at most, all
-linked. So no group is ever expanded into all pairs, and no link is lost. Groups are the connected components, found by
+joined on longer keys, with one of ``max_bits + 1`` parts of the other bits, and where very many share these too, compared
+in blocks that leave out what is connected already. So no group is ever expanded into all pairs, and no link is lost. Groups are the connected components, found by
 alternating large-star and small-star steps over written tables.
 
 Few bits of 64 reach only very near texts: at a Jaccard similarity of 0.8 of word shingles, fingerprints differ in 15 % of
@@ -20,7 +20,7 @@ shingle is one shingle; repeated rows share a group; a null id is never a group'
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,19 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = 512) -> DataFrame:
+def parts_of(mask: int, n: int) -> list[int]:
+    """The bits of the mask in n masks of about as many bits each."""
+    bits = [j for j in range(64) if mask >> j & 1]
+    edges = [round(k * len(bits) / n) for k in range(n + 1)]
+    return [sum(1 << j for j in bits[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def unsent(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the input: never by way of the driver, however small their compressed files look."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = 512, block: int = 4096) -> DataFrame:
     """Pairs (a, b) of different fingerprints; every pair within max_bits is connected by them. fps: distinct, column fp."""
     if not 2 * segments > max_bits:
         raise ValueError("of two fingerprints within max_bits, one segment must differ by one bit at most")
@@ -84,22 +96,38 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2, hot: int = 512)
     keys = fps.select("fp", F.explode(table).alias("k")).select(
         "fp", F.col("k.seg").alias("seg"), F.col("k.wild").alias("wild"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("part"), (F.col("fp").bitwiseAND(F.col("k.wild")) != 0).alias("one")
     )
-    crowd = keys.groupBy("seg", "wild", "part").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("seg", "wild", "part")
-    crowd = materialise(crowd, "crowded")
-    crowded = crowd.limit(1).count() > 0
-    if crowded:
-        dense = materialise(keys.join(crowd, ["seg", "wild", "part"], "left_semi").select("fp").distinct(), "dense")
-        keys = keys.join(crowd, ["seg", "wild", "part"], "left_anti")
-    a = keys.select(F.col("fp").alias("a"), "seg", "wild", "part", F.col("one").alias("one_a"))
-    b = keys.select(F.col("fp").alias("b"), "seg", "wild", "part", F.col("one").alias("one_b"))
+    on = ["seg", "wild", "part"]
     sides = ((F.col("wild") == 0) & (F.col("a") < F.col("b"))) | (~F.col("one_a") & F.col("one_b"))
-    found = a.join(b, ["seg", "wild", "part"]).where(sides & near(F.col("a"), F.col("b"))).select("a", "b")
-    if crowded:
-        wilds = [signed(((1 << 64) - 1) ^ sum(1 << j for j in js)) for js in combinations(range(64), max_bits)]
-        many = dense.select("fp", F.explode(F.array(*map(F.lit, wilds))).alias("mask"))
-        groups = many.groupBy("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part")).agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # 2^max_bits at most
-        found = found.unionByName(groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a != b"))
-    return found
+
+    def split(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs that meet in keys of at most ``hot`` fingerprints, and the rows of the other keys, if there are any."""
+        crowd = materialise(keys.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*on), "crowded")
+        dense = None
+        if crowd.limit(1).count():
+            dense = materialise(unsent(keys, crowd, on, "left_semi"), "dense")
+            keys = unsent(keys, crowd, on, "left_anti")
+        a = keys.select(F.col("fp").alias("a"), *on, F.col("one").alias("one_a"))
+        b = keys.select(F.col("fp").alias("b"), *on, F.col("one").alias("one_b"))
+        return unsent(a, b, on).where(sides & near(F.col("a"), F.col("b"))).select("a", "b"), dense
+
+    found, dense = split(keys)
+    if dense is None:
+        return found
+    # Outside the segment, a pair agrees on one of max_bits + 1 parts at least.
+    finer = F.array(*(F.array(*(F.struct(F.lit(segments + k * (max_bits + 1) + j).alias("seg"), F.lit(signed(m)).alias("mask"), F.lit(signed(r)).alias("rest")) for j, r in enumerate(parts_of(((1 << 64) - 1) ^ m, max_bits + 1)))) for k, m in enumerate(masks)))
+    finer = dense.select("fp", "wild", "one", F.explode(F.get(finer, F.col("seg"))).alias("k")).select(
+        "fp", F.col("k.seg").alias("seg"), "wild", "one", F.col("fp").bitwiseAND(F.col("k.mask").bitwiseAND(F.bitwise_not("wild")).bitwiseOR(F.col("k.rest"))).alias("part")
+    )
+    more, dense = split(finer)
+    found = found.unionByName(more)
+    if dense is None:
+        return found
+
+    def measure(t: pa.Table) -> Callable:
+        fps = t["id"].to_numpy().view("<u8")
+        return lambda x, y: np.bitwise_count(fps[x] ^ fps[y]) <= max_bits
+
+    return found.unionByName(all_links(dense.select(F.xxhash64(*on).alias("key"), F.col("fp").alias("id")), measure, block))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -109,9 +137,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if links.limit(1).count() else 0):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = unsent(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = unsent(large, least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = materialise(small.where("u != v").distinct(), "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
@@ -128,11 +156,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments:
     marked = materialise(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(materialise(distinct.select("fp"), "distinct"), max_bits, segments))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = unsent(distinct, roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = placed.where(F.col("root").isNotNull())
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = materialise(linked.join(best, "root").select("fp", "component_id"), "groups")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialise(unsent(linked, best, "root").select("fp", "component_id"), "groups")
+    return unsent(marked, by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 # --- groups by similarity: what few differing bits of 64 can't reach ---

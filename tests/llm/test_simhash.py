@@ -59,6 +59,36 @@ def test_no_link_is_lost_in_crowded_keys(spark):
     assert set(roots[0]) == linked
 
 
+def test_crowds_of_three_bits_need_no_wildcards_of_all_bits(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(250)} | {rng.getrandbits(64) for _ in range(20)})
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = set()
+    for a in fps:
+        for b in fps:
+            if a < b and (a ^ b).bit_count() <= 3:
+                linked |= {a, b}
+                x, y = sorted((find(a), find(b)), key=signed)
+                root[y] = x
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for hot, block in ((2, 8), (4, 4096), (40, 4096)):
+        found = links(df, 3, 2, hot=hot, block=block)
+        assert len(found._jdf.queryExecution().toString()) < 200_000  # the plan, which the driver keeps
+        assert {r.node % (1 << 64): r.root % (1 << 64) for r in components(found).collect()} == {f: find(f) for f in linked}
+
+
+def test_tables_that_grow_are_not_sent_to_the_driver(spark):
+    for got in (near_groups(documents(spark)),):
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(60))
     random.Random(2).shuffle(ids)
