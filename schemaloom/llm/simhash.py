@@ -282,7 +282,7 @@ def all_links(rows: DataFrame, measure: Callable[[pa.Table], Callable], block: i
     every = F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)
     first = big.withColumns({"part": F.explode(F.when(common, every).otherwise(F.array(own))), "label": F.col("id")})
     found = materialise(dealt(alone.join(crowds, "key", "left_anti")).unionByName(dealt(first)), "found")
-    big = big.join(components(found), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "id")).drop("node", "root")
+    big = unsent(big, components(found), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "id")).drop("node", "root")
     big = materialise(big, "labelled")
     most = big.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("_most"), F.count("*").alias("_labels"))
     big = big.join(broadcast_if_small(most.where("_labels > 1"), 100_000), "key").withColumn("_other", F.col("label") != F.col("_most"))
@@ -324,16 +324,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, m
     reps = materialise(reps, "reps")
     by_first = materialise(reps.groupBy("fp").agg(F.min("id").alias("least")), "firsts")
     close = links(by_first.select("fp"), max_bits, segments)
-    ends = close.join(by_first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    same = reps.join(by_first, "fp").where("id <> least")
+    ends = unsent(unsent(close, by_first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a"), by_first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = unsent(reps, by_first, "fp").where("id <> least")
     bands = reps.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").select(F.explode("bands").alias("key"), "id", "n", "sketch")
     candidates = ends.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("id").alias("a"), F.col("least").alias("b"))).unionByName(all_links(bands, sketches_near(similarity), block))
     members = broadcast_if_small(materialise(components(candidates), "candidates"), 500_000)
     texts = named.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = materialise(texts.join(members, F.col("id") == F.col("node")).select(F.col("root").alias("key"), "id", "text"), "texts")
     roots = components(all_links(texts, texts_near(similarity, shingle), block, F.length("text"), few=0))
-    placed = materialise(reps.join(roots, reps.id == roots.node, "left").select("e0", "e1", F.coalesce("root", "id").alias("component_id")), "groups")
-    return marked.join(placed, ["e0", "e1"]).select("doc_id", "component_id")
+    placed = materialise(unsent(reps, roots, reps.id == roots.node, "left").select("e0", "e1", F.coalesce("root", "id").alias("component_id")), "groups")
+    return unsent(marked, placed, ["e0", "e1"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bits: int = 3, segments: int = 2, id_col: str = "doc_id") -> DataFrame:
@@ -343,5 +343,5 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, max_bit
     """
     groups = similar_groups(docs, similarity, shingle, max_bits, segments, id_col=id_col)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    named = unsent(docs.where(F.col(id_col).isNotNull()), stay, id_col, "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -85,7 +85,7 @@ def test_crowds_of_three_bits_need_no_wildcards_of_all_bits(spark):
 
 
 def test_tables_that_grow_are_not_sent_to_the_driver(spark):
-    for got in (near_groups(documents(spark)),):
+    for got in (near_groups(documents(spark)), similar_groups(documents(spark)), keep_one(documents(spark))):
         assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
 
 
