@@ -25,7 +25,7 @@ import string
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +49,34 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Learned(dict):
+    """Ids of words, asked for when first met."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
+ENCODERS: dict[str, "WordEncoder"] = {}  #: of this process, by vocabulary; one at a time
+
+
+def encoder_of(vocabulary: str) -> "WordEncoder":
+    """The encoder that earlier tasks of this process have made, or a new one."""
+    if vocabulary not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[vocabulary] = WordEncoder(vocabulary)
+    return ENCODERS[vocabulary]
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, by way of a bounded cache of words.
 
     The vocabulary's pre-tokeniser never joins text across white space and ignores ASCII case, so the ids of a text are
-    those of its white-space separated parts, one after another. A part of letters and then punctuation is looked up as
-    two, since a run of letters always ends before a run of symbols. A part of Latin letters is one word of the model,
+    those of its white-space separated parts, one after another. A part of a letter or digit and then punctuation is looked up as
+    two, since these always end before a run of symbols. A part of Latin letters is one word of the model,
     and goes to the model itself; any other part goes through the whole tokenizer.
     """
 
@@ -68,7 +90,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # parts are in lower case, so what looks like one here is none
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = Learned(self._learn)
         self.limit = cache_words
 
     @staticmethod
@@ -82,37 +104,27 @@ class WordEncoder:
         text = unicodedata.normalize("NFC", text).lower()
         return text if text.isalpha() else None
 
-    def _learn(self, missing: set[bytes]) -> None:
-        tails, others, cache = [], [], self.cache
-        for p in missing:
+    def _learn(self, p: bytes) -> bytes:
+        if p.isalpha():
+            word = p.decode("ascii")
+        else:
             stem = p.rstrip(PUNCTUATION)
-            if stem and len(stem) < len(p) and self._latin(stem) is not None:
-                tails.append((p, stem, p[len(stem) :]))
-        todo = missing.difference(t[0] for t in tails)
-        todo.update(x for _, stem, tail in tails for x in (stem, tail) if x not in cache)
-        for p in todo:
+            if stem and len(stem) < len(p) and (stem[-1:].isalnum() or self._latin(stem) is not None):
+                return self.cache[stem] + self.cache[p[len(stem) :]]
             word = self._latin(p)
             if word is None:
-                others.append(p)
-                continue
+                ids = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+                return struct.pack(f"<{len(ids)}I", *ids)
             if not word.isascii():
                 word = word.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(word)]
-            cache[p] = struct.pack(f"<{len(ids)}I", *ids)
-        texts = [p.decode("utf-8", "replace") for p in others]
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if others else [], strict=True):
-            cache[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for p, stem, tail in tails:
-            cache[p] = cache[stem] + cache[tail]
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = {k: t for k, t in enumerate(texts) if t and self.special.search(t)}
         parts = [b"" if k in whole else (t or "").encode("utf-8", "replace").lower().split() for k, t in enumerate(texts)]
         if len(self.cache) > self.limit:
             self.cache.clear()
-        missing = set().union(*parts).difference(self.cache)
-        if missing:
-            self._learn(missing)
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         for k, t in whole.items():
@@ -129,7 +141,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 409
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary.value)
+        encoder = encoder_of(vocabulary.value)
         for batch in batches:
             names, rows = batch.column(0).to_pylist(), []
             for name, ids in zip(names, encoder.encode(batch.column(1).to_pylist()), strict=True):

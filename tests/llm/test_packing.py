@@ -7,7 +7,7 @@ import pytest
 from helpers import awkward, documents
 from tokenizers import Tokenizer
 
-from schemaloom.llm.packing import best_fit, encode_documents, pack_documents, pack_pieces, sequences
+from schemaloom.llm.packing import best_fit, encode_documents, encoder_of, pack_documents, pack_pieces, sequences
 
 path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -32,6 +32,16 @@ def test_pieces_equal_plain_tokenizer(spark):
             assert crc == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_words_are_learned_when_met_and_once_in_a_process():
+    with open(path, encoding="utf-8") as f:
+        vocabulary = f.read()
+    encoder = encoder_of(vocabulary)
+    assert encoder_of(vocabulary) is encoder  # a task makes none of its own
+    texts = ["foo-bar, it's, they'll! 12. 3.14; a1?! (x) é, Éa. ñ-2: e\u0301. ½, ２！ x\x1c. \x00, a'. 's 's' ''ll ...", "foo-bar; 12! don't." * 3]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoder.plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert b"foo-bar" in encoder.cache and b"12" in encoder.cache  # split from the symbols behind them
+
+
 def test_packing_is_whole_and_gapless(spark):
     rows = pack_documents(documents(spark), path, max_tokens=256, shard_pieces=50).collect()
     assert sum(r.length for r in rows) == sum(len(ids_of(t)) for _, t, *_ in awkward())
