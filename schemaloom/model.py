@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from copy import deepcopy
 from dataclasses import dataclass, field
 from decimal import Decimal
-from typing import Any
+from typing import Any, NamedTuple
 
 from schemaloom.functions import membership
 from schemaloom.functions.exprs import GAMMA
@@ -238,10 +238,20 @@ def edge(bins: dict[tuple[int, int | None], int], top: bool) -> float:
     return max(bounds) if top else min(bounds)
 
 
-def _histogram_objects(bins: dict, v) -> tuple[str, str] | None:
-    if bins and not edge(bins, False) * (1 - 1e-9) - 1e-9 <= v <= edge(bins, True) * (1 + 1e-9) + 1e-9:
-        return f"value {v} outside histogram bounds", INFO
-    return None
+class Bounds(NamedTuple):
+    """All that a value is asked of a histogram."""
+
+    low: float
+    high: float
+
+
+def bounds(bins: dict) -> Bounds:
+    return Bounds(edge(bins, False) * (1 - 1e-9) - 1e-9, edge(bins, True) * (1 + 1e-9) + 1e-9) if bins else Bounds(-math.inf, math.inf)
+
+
+def _histogram_objects(bins: dict | Bounds, v) -> tuple[str, str] | None:
+    own = bins if isinstance(bins, Bounds) else bounds(bins)
+    return None if own.low <= v <= own.high else (f"value {v} outside histogram bounds", INFO)
 
 
 def _histogram_write(name: str) -> Callable[[dict], dict]:
@@ -261,7 +271,7 @@ FACTS: dict[str, Fact] = {
         lambda own, other: (isinstance(own, int) and own <= 1) or (other is not None and divides(own, other)), _widen_multiple, write=lambda m: {"multipleOf": plain(m)} if not isinstance(m, int) or m > 1 else {},
     ),
     "distinct": Fact(lambda a, b: a + b, write=lambda n: {"distinctValues": n}),
-    "bloom": Fact(lambda a, b: a | b, objects=lambda own, v: (f"value {v} not found in bloom filter", INFO) if membership.bits(v) & ~own else None, write=lambda own: {"bloomFilter": membership.to_text(own)}),
+    "bloom": Fact(lambda a, b: a | b, objects=lambda own, v: (f"value {v} not found in bloom filter", INFO) if not membership.holds(own, v) else None, write=lambda own: {"bloomFilter": membership.to_text(own)}),
     "examples": Fact(lambda a, b: a | b, write=lambda xs: {"examples": sorted(map(plain, xs))} if xs else {}),
     "statistics": Fact(moments, write=_statistics),
     "histogram": Fact(_add, objects=_histogram_objects, write=_histogram_write("histogram")),
@@ -652,6 +662,19 @@ class Anomaly:
     level: str
 
 
+READY: dict[str, Callable[[Any], Any]] = {"histogram": bounds, "length_histogram": bounds, "bloom": membership.to_bytes}
+
+
+def ready(n: Node) -> Node:
+    """The tree to hold many values against: what hangs on no value is worked out once. It objects to the same, in the same order."""
+
+    def prepare(_: str, x: Node) -> Node:
+        x.facts = {k: READY[k](v) if k in READY else v for k, v in x.facts.items()}
+        return x
+
+    return transform(n, prepare)
+
+
 def anomalies(n: Node, v, path: str = "$", root: Node | None = None) -> list[Anomaly]:
     root = root or n
     kind = kind_of(v)

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from schemaloom.model import LEVELS, Node, anomalies
+from schemaloom.model import LEVELS, Node, anomalies, ready
 from schemaloom.plans.shred import parse_strict
 
 
 def find_anomalies(docs: DataFrame, schema: Node, level: str = "info") -> DataFrame:
     """(doc_id, path, message, level) of at least that level. A document that can't be parsed is fatal."""
-    shared = docs.sparkSession.sparkContext.broadcast(schema)
+    shared = docs.sparkSession.sparkContext.broadcast(ready(schema))
     least = LEVELS[level]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,3 +187,17 @@ def test_references_resets_and_state():
 def test_state_keeps_every_fact(vs):
     n = schema_of(vs)
     assert state.from_text(state.to_text(n)) == n
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(values, min_size=1, max_size=5), st.lists(values, max_size=5))
+def test_a_ready_tree_objects_to_the_same(known, others):
+    s = schema_of(known)
+    for v in known + others:
+        assert m.anomalies(m.ready(s), v) == m.anomalies(s, v)
+
+
+def test_a_ready_tree_asks_no_bins_for_a_value(monkeypatch):
+    held = m.ready(schema_of([{"n": 1.01**k, "s": "x" * k} for k in range(200)]))
+    monkeypatch.setattr(m, "edge", None)
+    assert not m.anomalies(held, {"n": 1.01**3, "s": "xx"}) and m.anomalies(held, {"n": 100.0, "s": "xx"})
