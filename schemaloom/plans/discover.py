@@ -168,7 +168,9 @@ def _facts(r, d: Discovery, extra: dict[str, dict]) -> dict[str, Any]:
 
 def _tables(d: Discovery) -> dict[str, dict]:
     p, nodes = d.params, d.nodes
-    numbers, any_ = p.properties["integer"] | p.properties["number"], lambda name: any(name in v for v in p.properties.values())
+    met = {t for _, t in d.shredded.kinds}  # no pass for facts of types that don't occur
+    wanted_of = {t: v for t, v in p.properties.items() if t in met}
+    numbers, any_ = wanted_of.get("integer", set()) | wanted_of.get("number", set()), lambda name: any(name in v for v in wanted_of.values())
     extra: dict[str, dict] = {k: {} for k in ("multiple", "bins", "lengths", "unique", "examples", "bloom", "dependencies")}
     if "multiple" in numbers:
         extra["multiple"] = {(r.path, r.type): r.multiple for r in M.multiples(nodes).collect()}
@@ -176,14 +178,14 @@ def _tables(d: Discovery) -> dict[str, dict]:
         if any_(wanted):
             for r in table(nodes).collect():
                 extra[name].setdefault((r.path, r.type), {})[(r.sign, r.bin)] = r["count"]
-    if p.has("array", "unique"):
+    if "unique" in wanted_of.get("array", ()):
         extra["unique"] = {r.path: r.is_unique for r in M.unique_arrays(nodes, p.max_examples).collect()}
     if any_("examples"):
         for r in M.examples(nodes, p.max_examples, p.seed).collect():
             extra["examples"].setdefault((r.path, r.type), []).append(r.value)
     if any_("bloom"):
         extra["bloom"] = {(r.path, r.type): membership.of_words(r.words) for r in M.bloom_filters(nodes).collect()}
-    if p.has("object", "dependencies"):
+    if "dependencies" in wanted_of.get("object", ()):
         for r in M.dependencies(nodes).collect():
             extra["dependencies"].setdefault(r.path, {}).setdefault(r.key, set()).add(r.needs)
     return extra

@@ -6,6 +6,7 @@ from functools import reduce
 import pytest
 
 from schemaloom import cli, model
+from schemaloom.catalog import nodes_of
 from schemaloom.model import of_value
 from schemaloom.operators import monoids as M
 from schemaloom.operators import relations
@@ -205,3 +206,41 @@ def test_disjoint_pass_of_the_command_line_accepts_its_documents(spark, tmp_path
     schema = load(json.loads((tmp_path / "schema.json").read_text()))
     assert all(not list(model.anomalies(schema, json.loads(x))) for x in lines)
     assert list(model.anomalies(schema, {"a": 1, "c": 1}))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_keep_no_levels_that_nobody_can_release(spark):
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert nodes_of(from_values(spark, DOCS)).where("type = 'object'").count() == 5
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_no_level_below_the_asked_depth(spark):
+    docs = from_values(spark, DOCS)
+    whole, top = shred(docs), shred(docs, depth=1)
+    assert len(top.levels) == 2 and sorted(r.path for r in top.nodes.collect()) == sorted(r.path for r in whole.nodes.where("depth <= 1").collect())
+
+
+def test_items_stay_in_the_row_of_their_array(spark):
+    docs = [{"m": [1, "1"], "t": [1, 1.0], "o": [{"a": 1}, {"a": 2}], "n": [1, None], "b": [True, False], "big": [2**70, 2**70 + 1], "x": [1e300, 2e300], "l": ["a" * 101 + "b", "a" * 101 + "c"], "d": [[1], [2]], "s": ["1", "2"], "i": [1, 2.5]}]
+    unique = M.unique_arrays(shred(from_values(spark, docs)).nodes)
+    assert {r.path for r in unique.collect() if r.is_unique} == {"$.big", "$.x", "$.s", "$.i"} and "Join" not in plan_of(unique)
+
+
+def test_parsing_is_written_once_in_a_level(spark):
+    """Filters on a value's type or size would repeat the parser, once for each mention."""
+    docs = from_values(spark, DOCS)
+    assert plan_of(shred(docs, Params(cache=False), depth=0).nodes.where("type = 'object' AND n > 0")).lower().count("parsejson") <= 1
+
+
+def test_validation_joins_only_tables_of_schema_size(spark):
+    n = nodes_of(from_values(spark, [{"a": 1, "b": 2, "c": 3}, {"a": 1, "c": 3}, {"c": 4}, {"a": 1}]))
+    ids = [r.doc_id for r in n.where("path = '$' AND array_contains(keys, 'c') = false").collect()]
+    found = X.validate_nodes(n.where(n.doc_id.isin(ids)), n.where(~n.doc_id.isin(ids)))
+    assert {(r.path, r.message) for r in found.collect()} == {("$.c", "missing required field")}
+    needs = X.validate_nodes(shred(from_values(spark, [{"b": 2, "c": 3}])).nodes, n)
+    assert ("$.a", "unmet dependency", "fatal") in {(r.path, r.message, r.level) for r in needs.collect()}
+    assert plan_of(found).count("node_id") == 0  # no value is joined to its object
