@@ -83,7 +83,11 @@ def validate_nodes(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """
     facts = known.groupBy("path", "type").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min(F.length("s")).alias("short"), F.max(F.length("s")).alias("long"), F.min("n").alias("few"), F.max("n").alias("many"))
     types = facts.groupBy("path").agg(F.collect_set("type").alias("types"))
-    seen = nodes.join(F.broadcast(types), "path", "left").join(F.broadcast(facts), ["path", "type"], "left")
+    required = M.required_keys(known).groupBy("path").agg(F.collect_list("key").alias("required")).withColumn("type", F.lit("object"))
+    needs = M.dependencies(known).groupBy("path").agg(F.collect_list(F.struct("key", "needs")).alias("needs")).withColumn("type", F.lit("object"))
+    seen = nodes.join(F.broadcast(types), "path", "left")
+    for of_schema_size in (facts, required, needs):
+        seen = seen.join(F.broadcast(of_schema_size), ["path", "type"], "left")
     admitted = F.array_contains("types", F.col("type")) | ((F.col("type") == "integer") & F.array_contains("types", F.lit("number")))
     size = F.length("s")
     rules = [
@@ -96,18 +100,14 @@ def validate_nodes(nodes: DataFrame, known: DataFrame) -> DataFrame:
         ((F.col("type") == "array") & (F.col("n") < F.col("few")), "too few items", "warning"),
         ((F.col("type") == "array") & (F.col("n") > F.col("many")), "too many items", "warning"),
     ]
-    found = F.filter(F.array(*(F.when(c, F.struct(F.lit(m).alias("message"), F.lit(level).alias("level"))) for c, m, level in rules)), lambda x: x.isNotNull())
-    flat = seen.select("doc_id", "path", F.explode(found).alias("a")).select("doc_id", "path", "a.message", "a.level")
-    required = M.required_keys(known)
-    objects = nodes.where("type = 'object'").select("doc_id", "node_id", "path")
-    wanted = objects.join(F.broadcast(required), "path")
-    has = nodes.where("key IS NOT NULL").select(F.col("parent_id").alias("node_id"), "key")
-    missing = wanted.join(has, ["node_id", "key"], "left_anti").select("doc_id", F.concat("path", F.lit("."), "key").alias("path"), F.lit("missing required field").alias("message"), F.lit("fatal").alias("level"))
-    needs = M.dependencies(known)
-    mine = nodes.where("key IS NOT NULL").select("doc_id", F.col("parent_id").alias("node_id"), F.col("parent").alias("path"), "key")
-    unmet = mine.join(F.broadcast(needs), ["path", "key"]).join(has.select("node_id", F.col("key").alias("needs")), ["node_id", "needs"], "left_anti")
-    unmet = unmet.select("doc_id", F.concat("path", F.lit("."), "needs").alias("path"), F.lit("unmet dependency").alias("message"), F.lit("fatal").alias("level"))
-    return flat.unionByName(missing).unionByName(unmet)
+    found = F.filter(F.array(*(F.when(c, F.struct("path", F.lit(m).alias("message"), F.lit(level).alias("level"))) for c, m, level in rules)), lambda x: x.isNotNull())
+    fatal = lambda key, message: F.struct(F.concat("path", F.lit("."), key).alias("path"), F.lit(message).alias("message"), F.lit("fatal").alias("level"))
+    # An object's keys stand in its row, so no key is joined to its object.
+    missing = F.transform(F.array_except("required", "keys"), lambda key: fatal(key, "missing required field"))
+    unmet = F.transform(F.filter("needs", lambda x: F.array_contains("keys", x["key"]) & ~F.array_contains("keys", x["needs"])), lambda x: fatal(x["needs"], "unmet dependency"))
+    none = F.array().cast("array<struct<path: string, message: string, level: string>>")
+    all_ = F.concat(found, F.coalesce(missing, none), F.coalesce(unmet, none))
+    return seen.select("doc_id", F.explode(all_).alias("a")).select("doc_id", "a.path", "a.message", "a.level")
 
 
 def verdicts(anomalies: DataFrame) -> DataFrame:
