@@ -224,6 +224,10 @@ def test_no_level_below_the_asked_depth(spark):
     assert len(top.levels) == 2 and sorted(r.path for r in top.nodes.collect()) == sorted(r.path for r in whole.nodes.where("depth <= 1").collect())
 
 
+def test_shredding_counts_the_bounds_of_arrays(spark, nodes):
+    assert sorted(M.bounds_of_kinds(spark, shred(from_values(spark, DOCS)).kinds).collect()) == sorted(M.array_bounds(nodes).collect())
+
+
 def test_items_stay_in_the_row_of_their_array(spark):
     docs = [{"m": [1, "1"], "t": [1, 1.0], "o": [{"a": 1}, {"a": 2}], "n": [1, None], "b": [True, False], "big": [2**70, 2**70 + 1], "x": [1e300, 2e300], "l": ["a" * 101 + "b", "a" * 101 + "c"], "d": [[1], [2]], "s": ["1", "2"], "i": [1, 2.5]}]
     unique = M.unique_arrays(shred(from_values(spark, docs)).nodes)
